@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stylomill.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from stylomill.llm.line_dedup import OP7_SQL, op7_line_dedup
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_line_dedup": op7_line_dedup}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL}
