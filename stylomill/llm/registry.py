@@ -6,7 +6,8 @@ from stylomill.llm.bpe import op3_bpe
 from stylomill.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stylomill.llm.line_dedup import OP7_SQL, op7_line_dedup
 from stylomill.llm.media import op8_media_chunks
+from stylomill.llm.mixing import op4_mix_sources
 from stylomill.llm.secrets import op6_secret_scan
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op6_secret_scan": op6_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_media_chunks": op8_media_chunks}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op4_mix_sources": op4_mix_sources, "op6_secret_scan": op6_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_media_chunks": op8_media_chunks}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL}
