@@ -75,3 +75,15 @@ def ship_package(spark: SparkSession) -> None:
         for p in (ROOT / "stylomill").rglob("*.py"):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(zipped))
+
+
+#: A stored table goes to all executors up to this many bytes of files; beyond, Spark's shuffle joins take over.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if its files are known to be small."""
+    from pyspark.sql import functions as F
+
+    n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(n)) <= BROADCAST_BYTES else df
