@@ -121,7 +121,7 @@ def _build(ranges: int, rows: int):
     return run
 
 
-def _merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     fp, counts = CountingQuotientFilter.merge([CountingQuotientFilter.load(x) for x in pdf["filter"]]).items()
     many = counts > 1
     return pd.DataFrame({"fp": fp[many].view(np.int64), "n": counts[many]})

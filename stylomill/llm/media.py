@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylomill.llm.common import mix, table, text_bytes
-from stylomill.session import shared_path, ship_package, stored
+from stylomill.session import broadcast_if_small, shared_path, ship_package, stored
 
 UNIT = 64
 MIN_CHUNK, AVG_BITS, MAX_CHUNK = 512, 10, 8192
@@ -136,16 +136,6 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.struct([("sha", pa.binary()), ("len", pa.int32())]))))], ["sha", "n_bytes", "payload", "recipe"])
 
 
-#: The list of texts with shared chunks or copies goes to all executors up to this many bytes of Parquet; beyond, a shuffle join takes its place.
-BROADCAST_BYTES = 16 << 20
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """A stored table with a broadcast hint if its files are known to be small."""
-    n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(n)) <= BROADCAST_BYTES else df
-
-
 def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Store df's texts. Returns (refs, media): (id, sha) for each row, and the stored payloads, one for each distinct text."""
     ship_package(df.sparkSession)
@@ -160,7 +150,7 @@ def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[Da
         F.collect_list(F.when(F.col("sha") == F.col("owner"), F.col("chunk"))).alias("lent"),
     )
     special = by_text.join(copies, "sha", "full").select("sha", "foreign", "lent", "keeper", F.col("n").isNotNull().alias("copied"))
-    special = _bounded(stored(special, "shared-chunks"))
+    special = broadcast_if_small(stored(special, "shared-chunks"))
     first = ~F.coalesce("copied", F.lit(False)) | F.col("id").eqNullSafe(F.col("keeper"))
     digest = F.unhex(F.sha2("text", 256))
     rows = docs.withColumn("sha", digest).join(special, "sha", "left").where(first).select("text", "foreign", "lent")
