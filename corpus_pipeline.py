@@ -1,7 +1,61 @@
-"""A pipeline over documents."""
+"""A corpus pipeline over documents: language, exact copies, near copies, mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Stages but the last return the
+columns of docs. Defined cases: see the operators; in short, null texts and texts without a letter are rejected by the
+first stage, of equal texts the largest doc_id stays, of a near-copy component the smallest, rows that repeat another
+whole row count as copies, and empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stylomill.llm import bpe, exact_dedup, jaccard_join, langid, mixing
+from stylomill.session import broadcast_if_small, stored
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of those that docs' labels teach."""
+    found = langid.predict(docs, langid.fit(docs))
+    return found.where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the largest doc_id."""
+    return exact_dedup.mark_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents, the one with the smallest doc_id."""
+    # a row is named by its id and text, as ids may repeat
+    named = docs.withColumn("__row", F.struct("doc_id", F.xxhash64("text").alias("tag")))
+    classes = jaccard_join.jaccard_components(named, id_col="__row")
+    gone = stored(classes.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct(), "near-copies")
+    left = named.join(broadcast_if_small(gone), F.col("__row").eqNullSafe(F.col("id")), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__row.tag").orderBy(F.lit(1)))
+    return left.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask for."""
+    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of the text decoded from them."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("jaccard_join", near_copies), ("mix_sources", mix), ("bpe", tokens)]
+
+#: SQL can't express the language model, the draws of the mix and the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
