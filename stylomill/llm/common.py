@@ -63,8 +63,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: A block this long keeps the temporaries of word_hashes() at some tens of MB, however long the text is.
-BLOCK = 1 << 21
+#: A block this long keeps the temporaries of word_hashes() at some MB, however long the text is.
+BLOCK = 1 << 19
 
 
 def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

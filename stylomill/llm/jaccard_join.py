@@ -40,7 +40,7 @@ from stylomill.session import broadcast_if_small, cut, ship_package, stored
 
 PERCENT = 80
 #: Bytes of text that are cut into shingles together, and shingles that one task of step 1 receives.
-BATCH_BYTES, TASK_SHINGLES = 8 << 20, 1 << 20
+BATCH_BYTES, TASK_SHINGLES = 4 << 20, 1 << 19
 #: Largest adaptive multiplicity; what verifying a candidate costs, in rows of a list.
 MOST_MATCHES, VERIFY_COST = 8, 8
 #: Sets in a block of step 5.

@@ -10,6 +10,8 @@ import numpy as np
 from stylomill.llm.common import BLOCK, FOLD, mix, span_hashes, word_hashes, word_spans
 
 WORDS = 5
+#: Bytes of text that are hashed together.
+GROUP = 1 << 21
 _STEP = np.uint64(0x9FB21C651E98DF25)
 SHORT = np.uint64(0xC3A5C85C97CB3127)
 
@@ -45,6 +47,17 @@ def _joint_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles; of fewer words, the whole sequence is the one shingle."""
+    at = 0
+    while at < len(texts):  # groups of bounded size
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP):
+            size += len(texts[to])
+            to += 1
+        yield from _group_sets(texts[at:to], words)
+        at = to
+
+
+def _group_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     h, n = _joint_words([t.translate(FOLD) for t in texts])
     long = _chain([h[i : len(h) - words + 1 + i] for i in range(words)]) if len(h) >= words else h[:0]
     at = 0
