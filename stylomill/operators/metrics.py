@@ -76,24 +76,24 @@ def curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
 
 
 def _totals(df: DataFrame, label: str) -> DataFrame:
-    return F.broadcast(df.agg(F.sum(F.col(label).cast("long")).alias("P"), F.sum(1 - F.col(label).cast("long")).alias("N")))  # one row
+    return F.broadcast(df.agg(F.sum(F.col(label).cast("long")).alias("n_pos"), F.sum(1 - F.col(label).cast("long")).alias("n_neg")))  # one row
 
 
 def roc_curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr), tied scores as one point, and the origin with a null threshold."""
-    points = curve(df, label, p).join(_totals(df, label)).select(F.col("p").alias("threshold"), safe(F.col("fp"), F.col("N")).alias("fpr"), safe(F.col("tp"), F.col("P")).alias("tpr"))
+    points = curve(df, label, p).join(_totals(df, label)).select(F.col("p").alias("threshold"), safe(F.col("fp"), F.col("n_neg")).alias("fpr"), safe(F.col("tp"), F.col("n_pos")).alias("tpr"))
     origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
 def pr_curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    return curve(df, label, p).join(_totals(df, label)).select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), safe(F.col("tp"), F.col("P")).alias("recall"))
+    return curve(df, label, p).join(_totals(df, label)).select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), safe(F.col("tp"), F.col("n_pos")).alias("recall"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """(auc): the share of pairs of a positive and a negative that the score orders, ties counting half. 0.5 with one class only."""
     pairs = curve(df, label, p).select((F.col("neg") * (2 * (F.col("tp") - F.col("pos")) + F.col("pos"))).alias("twice"))
-    return pairs.agg(F.sum("twice").alias("t")).join(_totals(df, label)).select(F.when(F.col("P") * F.col("N") == 0, 0.5).otherwise(F.col("t") / (2.0 * F.greatest(F.col("P") * F.col("N"), F.lit(1)))).alias("auc"))
+    return pairs.agg(F.sum("twice").alias("t")).join(_totals(df, label)).select(F.when(F.col("n_pos") * F.col("n_neg") == 0, 0.5).otherwise(F.col("t") / (2.0 * F.greatest(F.col("n_pos") * F.col("n_neg"), F.lit(1)))).alias("auc"))
 
 
 def passed(p: Column, at: list[float]) -> Column:
@@ -112,8 +112,8 @@ def sweep(df: DataFrame, ws: list[float], at: list[float], p1: str = "p1", p2: s
     per = per.groupBy("w", "k").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     grid = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, thr double")
     reached = lambda c: F.coalesce(F.sum(F.when(F.col("k") > F.col("i"), F.col(c))), F.lit(0)).cast("long")
-    out = per.join(F.broadcast(grid)).groupBy("w", "thr").agg(reached("pos").alias("tp"), reached("neg").alias("fp"), F.sum("pos").alias("P"))  # weights x thresholds x thresholds
-    return out.select("w", "thr", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn")).withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
+    out = per.join(F.broadcast(grid)).groupBy("w", "thr").agg(reached("pos").alias("tp"), reached("neg").alias("fp"), F.sum("pos").alias("n_pos"))  # weights x thresholds x thresholds
+    return out.select("w", "thr", "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn")).withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def best(df: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
-"""All queries of the reference's operators, by name."""
+"""All queries of the engine's own operators, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from stylomill.plans import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(queries.ORACLE_SQL)
 
 
 def flagship(spark, sf_dir):
