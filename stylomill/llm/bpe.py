@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from stylomill.llm.common import blocks, table, text_bytes
+from stylomill.llm.common import blocks, table, text_slices
 from stylomill.session import ship_package
 
 #: Words that the cache holds before it is emptied.
@@ -271,40 +271,55 @@ def vocabulary(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with(df: DataFrame, make, column: str, kind: str) -> DataFrame:
-    """df with one more column that make(batch) computes from Arrow batches."""
+def _with(df: DataFrame, made: dict[str, str], run_on) -> DataFrame:
+    """df with columns made: name and type of each; run_on(batch) yields slices of a batch and their new arrays."""
     ship_package(df.sparkSession)
-    base = df.drop(column)
+    base = df.drop(*made)
     names = [f"c{i}" for i in range(len(base.columns))]  # columns of equal names, too, pass through Arrow
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, base.schema.fields)), f"made {kind}"])
+    new = [f"m{i}" for i in range(len(made))]
+    schema = ", ".join(f"{n} {t}" for n, t in [*zip(names, (f.dataType.simpleString() for f in base.schema.fields)), *zip(new, made.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, make(b)], [*names, "made"])
+            for part, arrays in run_on(b):
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
 
-    return base.mapInArrow(run, schema).toDF(*base.columns, column)
+    return base.mapInArrow(run, schema).toDF(*base.columns, *made)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with ids: the token ids of the text."""
-    spec, at = vocabulary(df.sparkSession, path), df.drop(ids).columns.index(text)
+def _strings(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.binary()).cast(pa.string())
 
-    def make(b: pa.RecordBatch) -> pa.Array:
-        flat, n = codec(spec.value).encode_batch(text_bytes(b.column(at)))
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
-    return _with(df, make, ids, "array<int>")
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str | None = None) -> DataFrame:
+    """df with ids: the token ids of the text; and, if it is named, with what they decode to."""
+    made = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    spec, at = vocabulary(df.sparkSession, path), df.drop(*made).columns.index(text)
+
+    def run_on(b: pa.RecordBatch) -> Iterator[tuple]:
+        c = codec(spec.value)
+        for part, texts in text_slices([b], at):
+            flat, n = c.encode_batch(texts)
+            ends = np.cumsum(n)
+            arrays = [pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.astype(np.int32)))]
+            if decoded:
+                arrays.append(_strings([c.decode(flat[e - k : e].tolist()) for e, k in zip(ends, n)]))
+            yield part, arrays
+
+    return _with(df, made, run_on)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
     """df with decoded: the text of the token ids, special tokens kept."""
     spec, at = vocabulary(df.sparkSession, path), df.drop(decoded).columns.index(ids)
 
-    def make(b: pa.RecordBatch) -> pa.Array:
+    def run_on(b: pa.RecordBatch) -> Iterator[tuple]:
         c = codec(spec.value)
-        return pa.array([c.decode(x or []) for x in b.column(at).to_pylist()], pa.binary()).cast(pa.string())
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            yield part, [_strings([c.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(at)])]
 
-    return _with(df, make, decoded, "string")
+    return _with(df, {decoded: "string"}, run_on)
 
 
 def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -314,8 +329,8 @@ def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
-        for b in batches:
-            flat, n = c.encode_batch(text_bytes(b.column(1)))
+        for b, texts in text_slices(batches, 1):
+            flat, n = c.encode_batch(texts)
             ids_sha, decoded_sha, at = [], [], 0
             for k in n:
                 ids = flat[at : at + k].tolist()

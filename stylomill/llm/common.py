@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +113,16 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def text_slices(batches: Iterator, column: int, size: int = 4 << 20) -> Iterator[tuple]:
+    """Slices of Arrow batches that hold about size bytes of text, and their texts."""
+    for b in batches:
+        texts, at, held = text_bytes(b.column(column)), 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= size:
+                yield b.slice(at, i + 1 - at), texts[at : i + 1]
+                at, held = i + 1, 0
+        if at < len(texts):
+            yield b.slice(at), texts[at:]

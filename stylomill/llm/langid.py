@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import FOLD, crc32_of_id, table, text_bytes
+from stylomill.llm.common import FOLD, crc32_of_id, table, text_bytes, text_slices
 from stylomill.session import ship_package
 
 ORDER, SAMPLE_DOCS = 4, 300
@@ -243,8 +243,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         if id(found) not in _scorers:
             _scorers.clear()
             _scorers[id(found)] = Scorer(found)
-        for b in batches:
-            lang, score = _scorers[id(found)].predict(text_bytes(b.column(at)))
+        for b, texts in text_slices(batches, at):
+            lang, score = _scorers[id(found)].predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     return base.mapInArrow(run, schema).toDF(*base.columns, "lang_pred", "score")
