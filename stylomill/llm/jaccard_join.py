@@ -113,20 +113,34 @@ def _prefixes(percent: int, words: int, ranges: int):
     return run
 
 
-def _seen_elsewhere(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range of shingles: how many of a set's other sets have, too (those of the same batch are counted there)."""
-    shingle = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["a"]])
-    ref = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["b"]])
-    order = np.lexsort((ref, shingle))
-    shingle, ref = shingle[order], ref[order]
-    new = np.r_[True, shingle[1:] != shingle[:-1]]
-    keep = new | np.r_[True, ref[1:] != ref[:-1]] | (ref == MANY)  # a set with copies in several batches counts once
-    shingle, ref = shingle[keep], ref[keep]
-    start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-    size = np.diff(np.r_[start, len(shingle)])
-    shared = ref[np.repeat(size > 1, size)]
-    of, n = np.unique(shared[shared != MANY], return_counts=True)
-    return pd.DataFrame({"ref": of, "c": n.astype(np.int64)})
+def _seen_elsewhere(groups: int):
+    """Of one range of shingles: how many of a set's other sets have, too (those of the same batch are counted there). Sets in packed groups."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shingle = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["a"]])
+        ref = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["b"]])
+        order = np.lexsort((ref, shingle))
+        shingle, ref = shingle[order], ref[order]
+        new = np.r_[True, shingle[1:] != shingle[:-1]]
+        keep = new | np.r_[True, ref[1:] != ref[:-1]] | (ref == MANY)  # a set with copies in several batches counts once
+        shingle, ref = shingle[keep], ref[keep]
+        start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        size = np.diff(np.r_[start, len(shingle)])
+        shared = ref[np.repeat(size > 1, size)]
+        of, n = np.unique(shared[shared != MANY].view(np.uint64), return_counts=True)
+        group = (((of >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(of) else np.zeros(0, np.int64)
+        ends = np.r_[at[1:], len(of)]
+        return pd.DataFrame({"group": group[at], "a": [of[i:j].tobytes() for i, j in zip(at, ends)], "b": [n[i:j].astype(np.int64).tobytes() for i, j in zip(at, ends)]})
+
+    return run
+
+
+def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums over all ranges of one group's sets."""
+    ref, inverse = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["a"]]), return_inverse=True)
+    c = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.int64) for x in pdf["b"]]))
+    return pd.DataFrame({"ref": ref, "c": c.astype(np.int64)})
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +251,14 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     kind = source.schema["id"].dataType.simpleString()
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(min(1 << 20, max(8, size // 20 // TASK_SHINGLES)))  # about six bytes a word, a third of all in prefixes
+    groups = max(8, ranges // 8)
     rows = stored(source.mapInArrow(_prefixes(percent, words, ranges), f"id {kind}, kind int, part int, n long, name binary, a binary, b binary"), "shingles")
 
     # 1: sets that share enough of their prefixes
     docs = rows.where("kind = 0").select("id", "n", "name")
     near = rows.where("kind = 2").select("a", "b").mapInArrow(_unpacked, "ref long, c long").groupBy("ref").agg(F.max("c").alias("c"))
-    far = rows.where("kind = 1").select("part", "a", "b").groupBy("part").applyInPandas(_seen_elsewhere, "ref long, c long")
+    far = rows.where("kind = 1").select("part", "a", "b").groupBy("part").applyInPandas(_seen_elsewhere(groups), "group long, a binary, b binary")
+    far = far.groupBy("group").applyInPandas(_totals, "ref long, c long")
     shares = near.unionByName(far).groupBy("ref").agg(F.sum("c").alias("c"))
     sets = docs.where("n > 0").groupBy("name").agg(F.max("n").alias("n"), F.min("id").alias("id")).withColumn("ref", _ref("name"))
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
