@@ -22,6 +22,11 @@ RULES = ("ends_with_letter", "has_5gram_repetition", "max_uncommon_binary")
 FULL = (*TUNED, *RULES)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once. A plain column used within a lambda would be computed anew for each element, as projections merge."""
+    return F.transform(F.array(value), f)[0]
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -70,15 +75,18 @@ def ends_with_letter(text: Column) -> Column:
 
 def repeats_ngram(tk: Column, n: int = 5, least: int = 10) -> Column:
     """1 if an n-gram of the tokens occurs twice; texts of fewer tokens than least have 0. Tokens hold no white space, so joined n-grams are as good as lists."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tk) - (n - 1)), lambda i: F.array_join(F.slice(tk, i, n), " "))
-    return F.when(F.size(tk) < least, 0).otherwise((F.size(F.array_distinct(grams)) < F.size(grams)).cast("long")).cast("long")
+    def repeated(t: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")), lambda g: (F.size(F.array_distinct(g)) < F.size(g)).cast("long"))
+
+    return let(tk, lambda t: F.when(F.size(t) < least, F.lit(0).cast("long")).otherwise(repeated(t)))
 
 
 def repeats_uncommon(words: Column, times: int = 3, least: int = 5) -> Column:
     """1 if one of at least `least` uncommon words occurs `times` times."""
-    s = F.array_sort(F.filter(words, lambda w: ~w.isin(*COMMON_WORDS)))
-    again = F.exists(F.sequence(F.lit(0), F.size(s) - times), lambda i: s[i] == s[i + (times - 1)])
-    return F.when(F.size(s) < least, 0).otherwise(again.cast("long")).cast("long")
+    def repeated(s: Column) -> Column:
+        return F.exists(F.sequence(F.lit(0), F.size(s) - times), lambda i: s[i] == s[i + (times - 1)]).cast("long")
+
+    return let(F.array_sort(F.filter(words, lambda w: ~w.isin(*COMMON_WORDS))), lambda s: F.when(F.size(s) < least, F.lit(0).cast("long")).otherwise(repeated(s)))
 
 
 def clean_text(text: Column) -> Column:
@@ -148,21 +156,16 @@ def smog(text: Column) -> Column:
 
 def word_ngrams(tk: Column, lo: int, hi: int, sep: str = " ") -> Column:
     """All n-grams of lo to hi tokens, repeats included."""
-    def grams(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tk) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tk, i, n), sep))
-        return F.when(F.size(tk) >= n, made).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), sep))
+        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(grams(n) for n in range(lo, hi + 1)))
+    return let(tk, lambda t: F.concat(*(grams(t, n) for n in range(lo, hi + 1))))
 
 
 def char_ngrams(text: Column, lo: int, hi: int) -> Column:
-    """All substrings of lo to hi characters, repeats included."""
-    def grams(n: int) -> Column:
-        k = F.char_length(whole(text)) - (n - 1)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.substring(whole(text), i, F.lit(n)))
-        return F.when(k >= 1, made).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*(grams(n) for n in range(lo, hi + 1)))
+    """All substrings of lo to hi characters, repeats included. Characters are taken apart once, so the work is linear in the text."""
+    return word_ngrams(tokens(text, "(?s:.)"), lo, hi, "")
 
 
 def char_ids(text: Column, alphabet: str, length: int = 1024) -> Column:
