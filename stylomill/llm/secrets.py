@@ -66,14 +66,14 @@ def window_spans(s: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
     total, most = 0.0, width * (math.log2(width) - bits) + 1e-9  # entropy = log2(width) - total / width
     start = end = -1
     for i, c in enumerate(s):
-        k = counts.get(c, 0)
-        total += clog[k + 1] - clog[k]
-        counts[c] = k + 1
         if i >= width:
             old = s[i - width]
             k = counts[old]
             total += clog[k - 1] - clog[k]
             counts[old] = k - 1
+        k = counts.get(c, 0)
+        total += clog[k + 1] - clog[k]
+        counts[c] = k + 1
         if i >= width - 1 and total <= most:
             if start < 0:
                 start = i - width + 1
