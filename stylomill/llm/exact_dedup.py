@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylomill.llm.common import table
-from stylomill.session import ship_package
+from stylomill.session import broadcast_if_small, ship_package, stored
 
 #: Fingerprints that one task's filter holds, so that a task's memory doesn't depend on the input.
 RANGE_ROWS = 1 << 20
@@ -144,16 +144,17 @@ def mark_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", f
     out = df.drop("keep_id", "group_size", "kept", "text_sha256")
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = out.withColumns({"__fp": F.xxhash64(whole) if fingerprint is None else fingerprint, "text_sha256": F.sha2(whole, 256)})
-    repeated = repeated_fingerprints(docs, "__fp")
-    suspects = docs.join(repeated.select(F.col("fp").alias("__fp")), "__fp", "left_semi")
+    # stored, so that its size is known: a small one goes to all tasks, and whole texts aren't shuffled to find the suspects
+    repeated = broadcast_if_small(stored(repeated_fingerprints(docs, "__fp").select(F.col("fp").alias("__fp")), "repeated"))
+    suspects = docs.join(repeated, "__fp", "left_semi")
     # whole texts are compared: the text is part of the key, and each task sums up its copies before the shuffle
     equal = suspects.groupBy("text_sha256", whole.alias("__text")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = equal.groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("__n"))
     groups = groups.where("group_size > 1").withColumn("group_size", F.when(F.col("__n") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("long"))).drop("__n")
-    found = docs.drop("__fp").join(groups, "text_sha256", "left")
-    keep, size = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1)).cast("long")
     nth = F.row_number().over(Window.partitionBy("text_sha256", id_col).orderBy(F.lit(1)))  # copies have ids of their own, so this key isn't hot
-    marked = found.withColumns({"keep_id": keep, "group_size": size}).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (nth == 1))
+    found = docs.drop("__fp").withColumn("__nth", nth).join(groups, "text_sha256", "left")
+    keep, size = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1)).cast("long")
+    marked = found.withColumns({"keep_id": keep, "group_size": size}).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1))
     return marked.select(*out.columns, "keep_id", "group_size", "kept", "text_sha256")
 
 
