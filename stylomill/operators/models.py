@@ -214,3 +214,36 @@ def feature_names(vectors: PipelineModel, cfg: Config) -> list[str]:
 
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def cross_validate(fit, df: DataFrame, k: int = 5, id_col: str = "id") -> float:
+    """Mean macro F1 over k shuffled folds."""
+    from stylomill.operators.folds import shuffled_folds
+
+    rows = shuffled_folds(df, k, id_col).persist()
+    scores = []
+    for i in range(k):
+        scored = fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
+        scores.append(metrics.macro_f1(scored.withColumn("pred", F.col("prediction").cast("int"))).first()[0] or 0.0)
+    rows.unpersist()
+    return sum(scores) / k
+
+
+def compare(fitters: dict, train: DataFrame, valid: DataFrame, k: int = 5) -> DataFrame:
+    """(model, cv_f1, val_f1); without folds (k = 0) cv_f1 is NaN."""
+    rows = []
+    for name, fit in fitters.items():
+        scored = fit(train).transform(valid).withColumn("pred", F.col("prediction").cast("int"))
+        rows.append((name, cross_validate(fit, train, k) if k else float("nan"), metrics.macro_f1(scored).first()[0] or 0.0))
+    return train.sparkSession.createDataFrame(rows, "model string, cv_f1 double, val_f1 double")
+
+
+def best_model(comparison: DataFrame, by: str = "val_f1") -> DataFrame:
+    """The row of the best model; NaN is never the best."""
+    return comparison.where(~F.isnan(by)).orderBy(F.col(by).desc(), "model").limit(1)
+
+
+def fit_and_predict(fit, train: DataFrame, valid: DataFrame, test: DataFrame) -> DataFrame:
+    """test's predictions by a model fitted anew on train and valid."""
+    cols = ["id", "label", "features"]
+    return fit(train.select(*cols).unionByName(valid.select(*cols))).transform(test).select("id", F.col("prediction").cast("int").alias("label"))

@@ -86,3 +86,9 @@ def submission(spark, sf_dir):
 @query("baseline_submission")
 def baseline_submission(spark, sf_dir):
     return pipelines.baseline(*split(spark, sf_dir))[0]
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    _, train, valid = vectors(spark, sf_dir)
+    return models.compare({"nb": models.fit_nb, "svc": lambda df: models.fit_svc(df, max_iter=5)}, train, valid, k=0).unpivot("model", ["cv_f1", "val_f1"], "score", "value")

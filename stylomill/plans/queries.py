@@ -510,3 +510,19 @@ def knn_cosine(spark, sf_dir):
 @query("knn_vote", f"WITH {_KNN} SELECT query, (avg((label >= 5)::INTEGER) >= 0.5)::INTEGER AS pred FROM k WHERE rank <= 11 GROUP BY query")
 def knn_vote(spark, sf_dir):
     return neighbours(spark, sf_dir).groupBy("query").agg((F.avg((F.col("label") >= 5).cast("int")) >= 0.5).cast("int").alias("pred"))
+
+
+#: Fixed values of a small word list of our own: word, polarity, subjectivity.
+LEXICON = (("the", 0.1, 0.2), ("of", -0.2, 0.1), ("de", 0.3, 0.5), ("that", -0.4, 0.6), ("was", 0.05, 0.9))
+_LEX = ", ".join(f"('{w}', {p!r}::DOUBLE, {s!r}::DOUBLE)" for w, p, s in LEXICON)
+
+
+@query("lexicon_sentiment", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORD}')) AS w FROM documents), l(word, p, s) AS (VALUES {_LEX}),
+m AS (SELECT doc_id, avg(p) AS p, avg(s) AS s FROM t JOIN l ON w = word GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(m.p, 0.0), 9) AS sentiment_polarity, round(coalesce(m.s, 0.0), 9) AS sentiment_subjectivity FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""")
+def lexicon_sentiment(spark, sf_dir):
+    from stylomill.operators.lexicon import sentiment
+
+    lexicon = F.broadcast(spark.createDataFrame(LEXICON, "word string, polarity double, subjectivity double"))
+    df = sentiment(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon, id_col="doc_id").withColumnRenamed("id", "doc_id")
+    return rounded(df, "sentiment_polarity", "sentiment_subjectivity")
