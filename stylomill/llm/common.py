@@ -115,7 +115,7 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_slices(batches: Iterator, column: int, size: int = 4 << 20) -> Iterator[tuple]:
+def text_slices(batches: Iterator, column: int, size: int = 2 << 20) -> Iterator[tuple]:
     """Slices of Arrow batches that hold about size bytes of text, and their texts."""
     for b in batches:
         texts, at, held = text_bytes(b.column(column)), 0, 0

@@ -34,8 +34,10 @@ from stylomill.session import ship_package
 ORDER, SAMPLE_DOCS = 4, 300
 UND = "und"
 #: Words that a worker keeps costs of, and the longest of them.
-CACHE_WORDS, LONGEST = 200_000, 64
-PIECE = 1 << 22
+CACHE_WORDS, LONGEST = 150_000, 64
+#: Words that are coded together.
+TOGETHER = 10_000
+PIECE = 1 << 21
 LETTER = regex.compile(r"\p{L}")
 LEAD, END = bytes(ORDER - 1) + b" ", b" "
 
@@ -124,10 +126,11 @@ class Model:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word in each language."""
-        if not words:
-            return np.zeros((0, len(self.langs)))
-        context, symbol, size = _symbols(words)
-        return np.add.reduceat(self.cost(context, symbol), np.cumsum(size) - size, axis=0)
+        out = [np.zeros((0, len(self.langs)))]
+        for at in range(0, len(words), TOGETHER):
+            context, symbol, size = _symbols(words[at : at + TOGETHER])
+            out.append(np.add.reduceat(self.cost(context, symbol), np.cumsum(size) - size, axis=0))
+        return np.concatenate(out)
 
 
 class Scorer:
