@@ -214,14 +214,14 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
     """The model of the labelled rows of df. What comes to the driver is bounded by sample_docs texts for each label."""
     ship_package(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals:
+    draw = lambda h: F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw(F.col("h"))).alias("least")).collect()
+    if not texts:
         return Model({})
     share = F.lit(1.0)
-    for name, n in totals.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
-    sample = rows.where(draw < share).dropDuplicates(["lang", "text"])
+    for r in texts:  # copies count once; the text that is drawn first is always in, so that no label is without one
+        share = F.when(F.col("lang") == r["lang"], F.lit(max(min(1.0, sample_docs / r["n"]), r["least"]))).otherwise(share)
+    sample = rows.where(draw(F.xxhash64("text")) <= share).dropDuplicates(["lang", "text"])
     words = sample.mapInArrow(_count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[bytes, int]] = {}
     for name, word, n in zip(*(c.to_pylist() for c in words.toArrow().columns)):
