@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from stylomill.functions import text as X
 from stylomill.operators import metrics, tfidf
 from stylomill.operators.folds import stratified_folds
+from stylomill.session import shared_dir
 from stylomill.sources.files import TrialLog, signature
 
 
 @dataclass(frozen=True)
 class Config:
-    """One configuration for all pipelines; all of it is honoured."""
+    """One configuration for all pipelines; all of it is honoured. The defaults are the reference's."""
 
     columns: tuple[str, ...] = X.FULL
-    ngrams: int = 2
-    max_features: int = 2000
+    ngrams: int = 11
+    max_features: int = 50_000
     min_df: int = 2
     kfolds: int = 3
     n_iter: int = 8
@@ -43,7 +44,7 @@ class Config:
 #: Search spaces.
 LR_SPACE = {"C": [0.25, 0.5, 1.0, 2.0, 4.0], "class_weight": [None, "balanced"], "solver": ["liblinear", "lbfgs"]}
 NB_SPACE = {"alpha": [0.01, 0.05, 0.1, 0.5, 1.0]}
-GBT_SPACE = {"n_estimators": [20, 40], "max_depth": [3, 4, 6], "learning_rate": [0.05, 0.1, 0.2], "subsample": [0.7, 0.9, 1.0]}
+GBT_SPACE = {"n_estimators": [500], "max_depth": [3, 4, 5, 6, 7], "learning_rate": [0.03, 0.05, 0.07, 0.1], "subsample": [0.7, 0.8, 0.9]}
 
 
 def text_features(df: DataFrame, cfg: Config) -> DataFrame:
@@ -82,7 +83,7 @@ def class_weights(df: DataFrame, mode: str | None, label: str = "label") -> Data
     return df.withColumn("w", F.when(F.col(label) == 1, (n0 + n1) / (2 * max(n1, 1))).otherwise((n0 + n1) / (2 * max(n0, 1))))
 
 
-def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 30, **ignored):
+def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, **ignored):
     """Logistic regression with the inverse regularization C. The solver has no counterpart and is only kept on record."""
     rows = class_weights(df, class_weight)
     return LogisticRegression(regParam=1 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w").fit(rows)
@@ -93,9 +94,10 @@ def fit_nb(df: DataFrame, alpha: float = 1.0, **ignored):
     return NaiveBayes(modelType="multinomial", smoothing=alpha).fit(df)
 
 
-def fit_gbt(df: DataFrame, n_estimators: int = 20, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 1.0, seed: int = 42, min_child_weight: int = 1, valid_col: str | None = None, **ignored):
+def fit_gbt(df: DataFrame, n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.1, subsample: float = 1.0, seed: int = 42, min_child_weight: int = 1, valid_col: str | None = None, **ignored):
     """Boosted trees; positives weigh n0 / n1. L1 and L2 terms have no counterpart."""
     rows = class_weights(df, "scaled")
+    shared_dir(df.sparkSession)  # hundreds of rounds need their lineage cut
     gbt = GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, maxBins=256, seed=seed, weightCol="w", minInstancesPerNode=min_child_weight)
     return (gbt.setValidationIndicatorCol(valid_col) if valid_col else gbt).fit(rows)
 

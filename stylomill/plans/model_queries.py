@@ -34,13 +34,13 @@ def _scores(fit, raw=False):
 
 query("lr_scores")(_scores(models.fit_lr))
 query("nb_scores")(_scores(models.fit_nb))
-query("gbt_scores")(_scores(lambda df: models.fit_gbt(df, n_estimators=5, max_depth=3)))
+query("gbt_scores")(_scores(models.fit_gbt))
 query("svc_scores")(_scores(models.fit_svc, raw=True))
 
 
 @query("hashed_linear_scores")
 def hashed_linear_scores(spark, sf_dir):
-    train, valid = (models.hashed_vectors(models.text_features(d, Config()), binary=True).select("id", "label", "features").persist() for d in split(spark, sf_dir)[:2])
+    train, valid = (models.hashed_vectors(models.text_features(d, Config(ngrams=2)), binary=True).select("id", "label", "features").persist() for d in split(spark, sf_dir)[:2])
     return models.predict(models.fit_lr(train, max_iter=10), valid, "p").select(F.col("id").alias("doc_id"), "label", "p")
 
 
@@ -61,7 +61,7 @@ def ensemble_scores(spark, sf_dir):
 @query("random_search_trials")
 def random_search_trials(spark, sf_dir):
     _, train, _ = vectors(spark, sf_dir)
-    cfg = Config(n_iter=3, kfolds=3, artifacts=tempfile.mkdtemp())
+    cfg = Config(artifacts=tempfile.mkdtemp())
     _, trials = models.random_search("nb", models.fit_nb, models.NB_SPACE, train.select("id", "label", "features"), cfg)
     return spark.createDataFrame([(t["cand_idx"], t["fold_idx"], t["status"], t["score"]) for t in trials], "cand_idx int, fold_idx int, status string, score double")
 
@@ -75,7 +75,7 @@ def top_coefficients(spark, sf_dir):
 @query("top_importances")
 def top_importances(spark, sf_dir):
     found, train, _ = vectors(spark, sf_dir)
-    return spark.createDataFrame(models.importances(models.fit_gbt(train, n_estimators=5, max_depth=3), models.feature_names(found, Config())), "feature string, gain double")
+    return spark.createDataFrame(models.importances(models.fit_gbt(train), models.feature_names(found, Config())), "feature string, gain double")
 
 
 @query("submission")
@@ -91,4 +91,4 @@ def baseline_submission(spark, sf_dir):
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     _, train, valid = vectors(spark, sf_dir)
-    return models.compare({"nb": models.fit_nb, "svc": lambda df: models.fit_svc(df, max_iter=5)}, train, valid, k=0).unpivot("model", ["cv_f1", "val_f1"], "score", "value")
+    return models.compare({"nb": models.fit_nb, "svc": models.fit_svc}, train, valid).unpivot("model", ["cv_f1", "val_f1"], "score", "value")

@@ -251,6 +251,16 @@ def char_ngrams_df(spark, sf_dir):
     return grams.groupBy(F.col("term").alias("gram")).agg(F.count(F.lit(1)).alias("df"))
 
 
+@query("char_ngrams35_df", """WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(flatten([list_transform(range(1, greatest(length(t) - k + 2, 1)), lambda i: t[i:i+k-1]) for k in [3, 4, 5]])) AS gram FROM r)
+SELECT gram, count(*) AS df FROM g GROUP BY gram""")
+def char_ngrams35_df(spark, sf_dir):
+    """The reference's lengths; char_ngrams_df stops at 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grams = tfidf.term_counts(docs, X.char_ngrams(F.col("text"), 3, 5), "doc_id")
+    return grams.groupBy(F.col("term").alias("gram")).agg(F.count(F.lit(1)).alias("df"))
+
+
 @query("hashed_tf", f"""WITH {_terms(1, 2)} SELECT doc_id, ('0x' || substring(md5(term), 1, 8))::BIGINT % 524288 AS slot, sum(tf)::BIGINT AS tf FROM tf GROUP BY ALL""")
 def hashed_tf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.model_tokens(F.col("text")).alias("tk"))
