@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stylomill.llm import langid
+from stylomill.llm import langid, lm
 from tests.llm.test_llm import frame
 
 
@@ -18,3 +18,38 @@ def test_copies_do_not_starve_a_label(spark):
     assert all(np.array_equal(a, b) for a, b in zip(got.keys, want.keys))  # fewer than sample_docs distinct texts: all are learned
     assert len(langid.Model({"xx": {w.encode(): 1 for t in others for w in t.split()}}).keys[-1]) < len(got.keys[-1])
     assert langid.fit(df, sample_docs=1).langs == got.langs
+
+
+def test_lm_rows_grow_with_histories(spark, monkeypatch):
+    """Each history is followed by its own word, with many more histories than hashed rows."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    follows = rng.integers(0, 40, 60_000)
+    rows = [(k, " ".join(f"h{i} {words[follows[i]]}" for i in range(k * 100, k * 100 + 100))) for k in range(600)]
+    probe = rows[:100]
+    monkeypatch.setattr(lm, "EVENTS", 1 << 14)
+    train = frame(spark, rows * 6)
+    grown = sum(r["score"] for r in lm.score(frame(spark, probe), train).collect())
+    fixed = sum(_by_hashed_rows(spark, probe, train))
+    assert grown > fixed + 0.05 * abs(fixed)
+
+
+def _by_hashed_rows(spark, probe, train):
+    """Scores by the shared rows alone."""
+    counts = lm.token_counts(train)
+    model = lm.fit(train, counts)
+    c = {bytes(r["token"]): r["c"] for r in counts.collect()}
+    for _, t in probe:
+        h, last, n = lm.token_arrays([t.encode()])
+        slot = model.slots(h, last)
+        bits = model.forward(model.features(h, n), slot)[-1] - model.log_size[slot]
+        yield float(bits.sum()) + sum(np.log10(c.get(w, 0) + 1) for w in [*t.encode().split(), lm.END])
+
+
+def test_lm_scores_alike_with_and_without_a_flag(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(20))) for i in range(60)]
+    frame(spark, rows).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    cond = ~lm.held_out(df.doc_id)
+    a, b = ({r["id"]: round(r["score"], 3) for r in x.collect()} for x in (lm.score(df, df.where(cond)), lm.score(df, df.where(cond), learn=cond)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.05 * abs(a[k]) for k in a)
