@@ -214,15 +214,89 @@ def test_lm(spark, rows):
     assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def plain_scores(texts, learn, model):
+    """The model's log10 probabilities of texts' slots by loops over events, for a corpus of one part."""
+    tree, events = model.tree, []
+    for t, known in zip(texts, learn):
+        code = [int(x) for x in model.codes(*lm.token_arrays([t.encode()])[:2])]
+        before = [int(lm.START), int(lm.START)]
+        events.append([])
+        for c in code:
+            events[-1].append((before[-1], before[-2], int(model.slots(np.array([c], np.uint32))[0])))
+            before.append(c)
+    path = lambda s: [(int(tree.classes[s, k]), int(tree.branches[s, k])) for k in range(tree.depth[s])]
+    items = [(f, cls, br) for ev, known in zip(events, learn) if known for one, two, slot in ev for cls, br in path(slot) for f in [((1, one), (2, two), (3, one, two))]]
+    w, n = defaultdict(lambda: np.zeros(32)), Counter((f, cls) for fs, cls, _ in items for f in fs)
+
+    def softmax(fs, cls):
+        z = tree.shares[cls] + sum(w[f, cls] for f in fs)
+        return np.exp(z) / np.exp(z).sum()
+
+    for _ in range(1 + lm.STEPS):
+        g = defaultdict(lambda: np.zeros(32))
+        for fs, cls, br in items:
+            d = -softmax(fs, cls)
+            d[br] += 1
+            for f in fs:
+                g[f, cls] += d
+        for k, d in g.items():
+            w[k] = w[k] + d * lm.RATE / (n[k] + lm.SHRINK)
+    return [sum(math.log10(softmax(((1, one), (2, two), (3, one, two)), cls)[br]) for one, two, slot in ev for cls, br in path(slot)) for ev in events]
+
+
+def test_lm_scores_are_those_of_plain_loops(spark):
+    texts = [" ".join(f"w{(i * k) % 61}" for k in range(3 + i % 30)) for i in range(60)] + ["", "never seen", "w1 w2 w3"] * 2
+    df = frame(spark, list(enumerate(texts)))
+    cond = F.col("doc_id") < 55
+    c = Counter(x for t in texts[:55] for x in [*t.split(), "\n"])
+    model = lm.vocabulary(lm.token_counts(df.where(cond)), 40)
+    assert len(model.c) <= 40
+    got = {r["id"]: r["score"] for r in lm.score(df, df.where(cond), hot=40).collect()}
+    for i, (t, s) in enumerate(zip(texts, plain_scores(texts, [i < 55 for i in range(len(texts))], model))):
+        h, last, _ = lm.token_arrays([t.encode()])
+        slot = model.slots(model.codes(h, last))
+        within = sum(math.log10(c[x] + 1) for x in [*t.split(), "\n"]) - np.r_[model.log_c, model.log_size][slot].sum()
+        assert abs(got[i] - s - within) < 1e-3, t
+
+
 def test_lm_probabilities_sum_to_one():
-    words = [f"w{i}".encode() for i in range(50)]
-    m = lm.Model(np.r_[lm.END_HASH, lm.token_arrays(words[:10])[0][::2]].astype(np.uint64))
-    m.set_counts(np.arange(1024) % 7 + 1.0, np.ones(1024))
-    m.train([b" ".join(words[i:] + words[:i]) for i in range(50)], 0.4)
-    h, last, counts = lm.token_arrays([b"w1 w2 w3"])
-    rows = [r[2:3] for r in m.features(h, counts)]
-    every = np.arange(1024)
-    assert abs(sum(10 ** m.forward([np.repeat(r, 1024) for r in rows], every)[-1]) - 1) < 1e-4
+    rng = np.random.default_rng(3)
+    tree = lm.Tree(rng.integers(1, 1000, 3000).astype(float))
+    n = 5000
+    one, two, slot = (rng.integers(0, k, n).astype(np.uint32) for k in (30, 30, 3000))
+    every = np.arange(3000)
+    got = lm.part_scores(tree, np.r_[one, np.full(3000, one[0])], np.r_[two, np.full(3000, two[0])], np.r_[slot.astype(np.int64), every], np.arange(n + 3000) < n)
+    assert abs((10 ** got[n:]).sum() - 1) < 1e-4
+
+
+def test_lm_long_texts_go_in_pieces():
+    texts = [b"a b", b"x" * 30, " ".join(f"w{i % 7}" for i in range(200)).encode(), b"", b"c"]
+    h, last, n = lm.token_arrays(texts)
+    parts = list(lm.token_slices(texts, 64))
+    assert len(parts) > 5 and np.array_equal(np.concatenate([p[2] for p in parts]), h) and np.array_equal(np.concatenate([p[3] for p in parts]), last)
+    assert sum(p[4].sum() for p in parts) == n.sum()
+    one, two = lm.histories(h.astype(np.uint32), n)
+    found, before = [], None
+    for at, pieces, ph, _, pn, begun in parts:
+        code = ph.astype(np.uint32)
+        a, b = lm.histories(code, pn, before if begun else None)
+        before = code[-1], (code[-2] if len(code) > 1 else a[-1])
+        found.append((a, b))
+    assert np.array_equal(np.concatenate([f[0] for f in found]), one) and np.array_equal(np.concatenate([f[1] for f in found]), two)
+
+
+def test_lm_held_out_gain_whatever_the_partitions(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = []
+    for k in (1, 4, 32):
+        docs.repartition(k).write.parquet(str(tmp_path / str(k)))
+        df = spark.read.parquet(str(tmp_path / str(k)))
+        cond = ~lm.held_out(F.col("doc_id"))
+        found.append(lm.score(df, df.where(cond), learn=cond).withColumn("held_out", lm.held_out(F.col("id"))).toPandas().sort_values("id"))
+    held = found[2][found[2].held_out]
+    assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.5
+    for other in found[1:]:
+        assert np.allclose(other.score.to_numpy(), found[0].score.to_numpy(), rtol=1e-6, atol=1e-4)
 
 
 def brute_spans(t):
