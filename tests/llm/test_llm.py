@@ -226,14 +226,14 @@ def plain_scores(texts, learn, model):
             before.append(c)
     path = lambda s: [(int(tree.classes[s, k]), int(tree.branches[s, k])) for k in range(tree.depth[s])]
     items = [(f, cls, br) for ev, known in zip(events, learn) if known for one, two, slot in ev for cls, br in path(slot) for f in [((1, one), (2, two), (3, one, two))]]
-    w, n = defaultdict(lambda: np.zeros(32)), Counter((f, cls) for fs, cls, _ in items for f in fs)
+    w, n = defaultdict(lambda: np.zeros(lm.BRANCHES)), Counter((f, cls) for fs, cls, _ in items for f in fs)
 
     def softmax(fs, cls):
         z = tree.shares[cls] + sum(w[f, cls] for f in fs)
         return np.exp(z) / np.exp(z).sum()
 
     for _ in range(1 + lm.STEPS):
-        g = defaultdict(lambda: np.zeros(32))
+        g = defaultdict(lambda: np.zeros(lm.BRANCHES))
         for fs, cls, br in items:
             d = -softmax(fs, cls)
             d[br] += 1
