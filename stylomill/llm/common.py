@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +29,12 @@ def crc32_of_id(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that an operator's output would hide."""
-    return df.drop(*names)
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name that none of columns bears, whatever its case."""
+    taken, out = {c.lower() for c in columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
 
 
 _ODD = 0x9E3779B97F4A7C15 | 1
