@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import table
+from stylomill.llm.common import table, unused
 from stylomill.session import broadcast_if_small, ship_package, stored
 
 #: Fingerprints that one task's filter holds, so that a task's memory doesn't depend on the input.
@@ -74,8 +74,11 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        parts = [f.items() for f in filters]
-        return cls.build(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)]))
+        """One filter of all counts. Two by two, as both lists of fingerprints are sorted: each one's places in the other are found, nothing is sorted anew."""
+        parts = [f.items() for f in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        while len(parts) > 1:
+            parts = [_merged(*parts[i], *parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return cls._of_sorted(*parts[0])
 
     def dump(self) -> bytes:
         used = np.flatnonzero(self.used)
@@ -96,6 +99,23 @@ class CountingQuotientFilter:
         return cls(int(q), *bits, remainders, counts)
 
 
+def _merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of distinct fingerprints with counts as one."""
+    at = np.searchsorted(a, b)
+    same = np.zeros(len(b), bool)
+    inside = at < len(a)
+    same[inside] = a[at[inside]] == b[inside]
+    n = n.copy()
+    n[at[same]] += m[same]
+    at, b, m = at[~same], b[~same], m[~same]
+    place = at + np.arange(len(b))
+    of_a = np.ones(len(a) + len(b), bool)
+    of_a[place] = False
+    fp, counts = np.empty(len(of_a), np.uint64), np.empty(len(of_a), np.int64)
+    fp[of_a], counts[of_a], fp[place], counts[place] = a, n, b, m
+    return fp, counts
+
+
 def _build(ranges: int, rows: int):
     """Arrow batches of fingerprints to one filter for each range of fingerprints."""
 
@@ -130,7 +150,7 @@ def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def repeated_fingerprints(df: DataFrame, fp: str, ranges: int | None = None) -> DataFrame:
     """(fp, n): the fingerprints that occur more than once, and how often."""
     ship_package(df.sparkSession)
-    if ranges is None:  # a count reads only Parquet footers
+    if ranges is None:  # of a scan, a count reads only Parquet footers
         ranges = int(min(MAX_RANGES, max(8, -(-df.count() // RANGE_ROWS))))
     filters = df.select(fp).mapInArrow(_build(ranges, 4 * RANGE_ROWS), "part int, filter binary")
     return filters.groupBy("part").applyInPandas(_merge, "fp long, n long")
@@ -141,21 +161,31 @@ def mark_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", f
 
     fingerprint replaces the 64-bit hash of the text; texts of one fingerprint are still told apart.
     """
-    out = df.drop("keep_id", "group_size", "kept", "text_sha256")
+    made = ("keep_id", "group_size", "kept", "text_sha256")
+    out = df.drop(*made)
+    fp, whole_text, sha, keeper, size, again = (unused(n, [*out.columns, *made]) for n in ("fp", "text", "sha", "keeper", "size", "again"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    docs = out.withColumns({"__fp": F.xxhash64(whole) if fingerprint is None else fingerprint, "text_sha256": F.sha2(whole, 256)})
+    docs = out.withColumns({fp: F.xxhash64(whole) if fingerprint is None else fingerprint, "text_sha256": F.sha2(whole, 256)})
     # stored, so that its size is known: a small one goes to all tasks, and whole texts aren't shuffled to find the suspects
-    repeated = broadcast_if_small(stored(repeated_fingerprints(docs, "__fp").select(F.col("fp").alias("__fp")), "repeated"))
-    suspects = docs.join(repeated, "__fp", "left_semi")
+    repeated = broadcast_if_small(stored(repeated_fingerprints(docs, fp).select(F.col("fp").alias(fp)), "repeated"))
+    suspects = docs.join(repeated, fp, "left_semi")
     # whole texts are compared: the text is part of the key, and each task sums up its copies before the shuffle
-    equal = suspects.groupBy("text_sha256", whole.alias("__text")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = equal.groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("__n"))
-    groups = groups.where("group_size > 1").withColumn("group_size", F.when(F.col("__n") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("long"))).drop("__n")
-    nth = F.row_number().over(Window.partitionBy("text_sha256", id_col).orderBy(F.lit(1)))  # copies have ids of their own, so this key isn't hot
-    found = docs.drop("__fp").withColumn("__nth", nth).join(groups, "text_sha256", "left")
-    keep, size = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1)).cast("long")
-    marked = found.withColumns({"keep_id": keep, "group_size": size}).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1))
-    return marked.select(*out.columns, "keep_id", "group_size", "kept", "text_sha256")
+    equal = suspects.groupBy(F.col("text_sha256").alias(sha), whole.alias(whole_text)).agg(F.max(id_col).alias(keeper), F.count(F.lit(1)).alias(size))
+    groups = equal.groupBy(sha).agg(F.first(keeper).alias(keeper), F.first(size).alias(size), F.count(F.lit(1)).alias("n")).where(f"{size} > 1")
+    groups = groups.withColumn(size, F.when(F.col("n") == 1, F.col(size)).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("long"))).drop("n")
+    found = docs.drop(fp).join(broadcast_if_small(stored(groups, "copies")), F.col("text_sha256") == F.col(sha), "left")
+    found = found.withColumns({"keep_id": F.when(F.col(size).isNull(), F.col(id_col)).otherwise(F.col(keeper)), "group_size": F.coalesce(size, F.lit(1)).cast("long")})
+    stays = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    # rows that repeat id and text: few, and only these are numbered, so that one of them stays
+    twice = suspects.groupBy(F.col(id_col).alias(again), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again, sha)
+    twice = broadcast_if_small(stored(twice, "repeated-rows"))
+    same = F.col(id_col).eqNullSafe(F.col(again)) & (F.col("text_sha256") == F.col(sha))
+    order = F.xxhash64(*(c for c, t in out.dtypes if "map<" not in t))  # the same row stays in each run
+    nth = F.row_number().over(Window.partitionBy("text_sha256", id_col).orderBy(order))
+    found = found.drop(sha)
+    once = found.join(twice, same, "left_anti").withColumn("kept", stays)
+    several = found.join(twice, same, "left_semi").withColumn("kept", stays & (nth == 1))
+    return once.unionByName(several).select(*out.columns, *made)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
