@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import SPACE, ascii_lower, table
+from stylomill.llm.common import SPACE, ascii_lower, table, unused
+from stylomill.session import broadcast_if_small, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -28,23 +29,26 @@ def line_key(line: Column) -> Column:
 def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with text without the repeated lines, n_lines (before) and n_dropped."""
     columns = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    tag, split, lost_id, lost_tag, lost = (unused(n, df.columns) for n in ("tag", "lines", "id", "lost_tag", "lost"))
     whole = F.coalesce(F.col(text), F.lit(""))
     # (id, tag) names a text, also where rows repeat an id
-    tagged = df.select(F.col(id_col).alias("__id"), F.xxhash64(F.lit(3), whole).alias("__tag"), F.split(whole, "\n").alias("__lines"))
-    keyed = tagged.select("__id", "__tag", F.posexplode("__lines").alias("__pos", "__line")).withColumn("__key", line_key(F.col("__line")))
-    lines = keyed.where(F.char_length("__key") >= min_chars).select("__id", "__tag", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(11), "__key").alias("__h2"))
-    known = F.count_distinct("__id") + F.max(F.col("__id").isNull().cast("int"))
-    frequent = lines.groupBy("__h1", "__h2").agg(known.alias("__n"), F.max("__id").alias("__last")).where(F.col("__n") >= min_docs).select("__h1", "__h2", "__last")
-    lost = lines.join(frequent, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__last")))
-    lost = lost.groupBy("__id", "__tag").agg(F.collect_set("__pos").alias("__lost")).withColumnsRenamed({"__id": "__id2", "__tag": "__tag2"})
-    docs = df.select(*columns).withColumns({"__tag": F.xxhash64(F.lit(3), whole), "__lines": F.split(whole, "\n")}).drop(text)
-    both = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col("__tag") == F.col("__tag2")), "left")
-    n = F.size("__lines")
+    tagged = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(3), whole).alias("tag"), F.split(whole, "\n").alias("lines"))
+    keyed = tagged.select("id", "tag", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    lines = keyed.where(F.char_length("key") >= min_chars).select("id", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"))
+    lines = stored(lines, "lines")  # texts are taken apart once
+    known = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
+    frequent = lines.groupBy("h1", "h2").agg(known.alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
+    # small enough, frequent lines go to all tasks, and no line's rows meet in one
+    gone = lines.join(broadcast_if_small(stored(frequent, "frequent-lines")), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    gone = gone.groupBy(F.col("id").alias(lost_id), F.col("tag").alias(lost_tag)).agg(F.collect_set("pos").alias(lost))
+    docs = df.select(*columns).withColumns({tag: F.xxhash64(F.lit(3), whole), split: F.split(whole, "\n")}).drop(text)
+    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col(lost_id)) & (F.col(tag) == F.col(lost_tag)), "left")
+    n = F.size(split)
     # array_except is linear in both arrays; positions are distinct, so it only takes out the lost ones
-    stays = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__lost"))
-    kept = F.when(F.col("__lost").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(stays, lambda i: F.col("__lines")[i]), "\n"))
-    out = both.select("*", kept.alias(text), n.cast("long").alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("__d"))
-    return out.select(*columns, "n_lines", F.greatest("__d", F.lit(0)).alias("n_dropped"))
+    stays = F.array_except(F.sequence(F.lit(0), n - 1), F.col(lost))
+    kept = F.when(F.col(lost).isNull(), F.array_join(split, "\n")).otherwise(F.array_join(F.transform(stays, lambda i: F.col(split)[i]), "\n"))
+    dropped = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long")
+    return both.select(*(kept.alias(text) if c == text else F.col(c) for c in columns), n.cast("long").alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
