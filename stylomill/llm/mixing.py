@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import table
+from stylomill.llm.common import table, unused
 from stylomill.session import cut
 
 WEIGHTS, MOST, FAN, SEED = (5, 2, 1), 3, 64, 17
@@ -88,7 +88,9 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     level = 0
     while True:
         bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("unit.u")), F.col("groups"))
-        folded = open_.groupBy("source", "groups", bucket.alias("bucket")).agg(F.sort_array(F.collect_list("unit")).alias("units"))
+        # from long to short: what a long document lacks or has too much is settled with shorter ones, so a short one is left
+        units = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("unit.size"), "unit"))), lambda x: x["unit"])
+        folded = open_.groupBy("source", "groups", bucket.alias("bucket")).agg(units.alias("units"))
         first, rest = F.col("units")[0], F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0)))
         zero = F.struct(first.alias("cur"), F.slice("units", 1, 0).alias("done"))
         folded = cut(folded.select("source", "groups", F.aggregate(rest, zero, _pivot(level, seed)).alias("r")))
@@ -109,10 +111,11 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 
 def apply_mix(df: DataFrame, decisions: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """df's rows, each as often as decided."""
-    d = decisions.where("copies > 0").select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("size").alias("__n"), F.col("copies").alias("__c"))
-    docs = df.withColumn("__size", n_words(F.col(text)))
-    both = docs.join(d, F.col(source).eqNullSafe(F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__n")))
-    return both.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*df.columns)
+    s, i, n, c, size, k = (unused(x, df.columns) for x in ("source", "id", "n", "copies", "size", "k"))
+    d = decisions.where("copies > 0").select(F.col("source").alias(s), F.col("id").alias(i), F.col("size").alias(n), F.col("copies").alias(c))
+    docs = df.withColumn(size, n_words(F.col(text)))
+    both = docs.join(d, F.col(source).eqNullSafe(F.col(s)) & F.col(id_col).eqNullSafe(F.col(i)) & (F.col(size) == F.col(n)))
+    return both.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*df.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
