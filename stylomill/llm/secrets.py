@@ -3,8 +3,11 @@
 Three kinds of known patterns are found first (assign, access, hex; see BASE). The method adds spans of kind entropy: in
 each candidate string, a maximal run of a character class, a window of fixed width slides on by one character at a time;
 the counts of the window's characters change by one in and one out, and with them the sum that Shannon's entropy is made
-of. Windows over the class's threshold merge into spans. A span is dropped if its candidate is on the allow-list, if it
-lacks the kinds of characters that the class asks for, or if a known pattern's span already covers it.
+of, and how often lower-case letters, capitals, digits and signs give way to each other. Windows that reach the class's
+thresholds in both merge into spans. A span is dropped if its candidate is on the allow-list, if it lacks the kinds of
+characters that the class asks for, or if a span of a known pattern or of another class already covers it.
+
+Thresholds are about what one random window in a hundred falls short of; README has recall and false alarms.
 
 Offsets are code points, end exclusive. Defined cases. A null or empty text has no spans (an empty list). Texts of any
 length are searched whole. An empty table gives an empty result; an input column named spans is replaced.
@@ -35,35 +38,47 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 @dataclass(frozen=True)
 class CharClass:
-    """A class of characters, the window's width, the least entropy in bits a character, and what a span must contain."""
+    """A class of characters, the window's width, the least entropy in bits a character and the fewest changes of kind in it, and what a span must contain."""
 
     name: str
     chars: str
     width: int
     bits: float
+    changes: int
     needs: tuple[str, ...]
 
 
 CLASSES = (
-    CharClass("hex", "[0-9a-fA-F]", 20, 3.0, ("[0-9]", "[a-fA-F]")),
-    CharClass("base64", "[A-Za-z0-9+/_=-]", 20, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
+    CharClass("hex", "[0-9a-f]", 20, 2.85, 4, ("[0-9]", "[a-f]")),
+    CharClass("HEX", "[0-9A-F]", 20, 2.85, 4, ("[0-9]", "[A-F]")),
+    CharClass("lower", "[0-9a-z]", 20, 3.4, 3, ("[0-9]", "[a-z]")),
+    CharClass("upper", "[0-9A-Z]", 20, 3.3, 2, ("[0-9]", "[A-Z]")),
+    CharClass("mixed", "[A-Za-z0-9+/_=-]", 20, 3.6, 6, ("[0-9]", "[a-z]", "[A-Z]")),
 )
-#: Candidates that are no secrets: UUIDs, dates with times, digests named as such, and keys of documentation.
+#: Candidates that are no secrets: UUIDs, dates with times, digests named as such, keys of documentation, words put together (with case or signs) and numbered.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]*",
     r"sha(1|256|384|512)[-_=].*",
     r".*EXAMPLE(KEY)?",
+    r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,4}",  # possessive, so that long runs cost no more than their length
+    r"/?(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)[/_=-]++)++(?:[A-Z]?[a-z]++|[A-Z]++)?[0-9]{0,4}/?",
 )
+KIND = [0] * 128
+for _kind, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")):
+    for _c in _chars:
+        KIND[ord(_c)] = _kind + 1
 
 
-def window_spans(s: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
-    """Merged spans of the windows of s whose entropy is at least bits."""
+def window_spans(s: str, width: int, bits: float, changes: int = 0) -> Iterator[tuple[int, int]]:
+    """Merged spans of the windows of s whose entropy is at least bits and whose kinds of characters change at least so often. s is ASCII."""
     if len(s) < width:
         return
     clog = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
     total, most = 0.0, width * (math.log2(width) - bits) + 1e-9  # entropy = log2(width) - total / width
+    kinds = [KIND[ord(c)] for c in s]
+    changed = 0
     start = end = -1
     for i, c in enumerate(s):
         if i >= width:
@@ -71,10 +86,12 @@ def window_spans(s: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
             k = counts[old]
             total += clog[k - 1] - clog[k]
             counts[old] = k - 1
+            changed -= kinds[i - width] != kinds[i - width + 1]
         k = counts.get(c, 0)
         total += clog[k + 1] - clog[k]
         counts[c] = k + 1
-        if i >= width - 1 and total <= most:
+        changed += i > 0 and kinds[i - 1] != kinds[i]
+        if i >= width - 1 and total <= most and changed >= changes:
             if start < 0:
                 start = i - width + 1
             elif i - width + 1 > end:
@@ -112,11 +129,15 @@ class Scanner:
                 for m in pattern.finditer(text, a, b):
                     if self.allow and self.allow.fullmatch(m[0]):
                         continue
-                    for s, e in window_spans(m[0], cls.width, cls.bits):
+                    for s, e in window_spans(m[0], cls.width, cls.bits, cls.changes):
                         span = m[0][s:e]
                         if all(n.search(span) for n in needs):
                             found.add((m.start() + s, 3, m.start() + e))
-        return [x for x in found if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+        out: list[tuple[int, int, int]] = []
+        for x in sorted(found, key=lambda x: (x[0] - x[2], x[0])):  # the longest first
+            if not any(s <= x[0] and x[2] <= e for s, _, e in (*base, *out)):
+                out.append(x)
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         runs = [m.span() for m in self.any.finditer(text)]
