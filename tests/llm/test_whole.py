@@ -27,7 +27,7 @@ def test_lm_rows_grow_with_histories(spark):
     follows = rng.integers(0, 40, 60_000)
     rows = [(k, " ".join(f"h{i} {words[follows[i]]}" for i in range(k * 100, k * 100 + 100))) for k in range(600)]
     counts = lm.token_counts(frame(spark, rows))
-    assert counts.count() > lm.HOT / 2
+    assert counts.count() > 1 << 15
     model = lm.vocabulary(counts)
     got = lm.score(frame(spark, rows[:100]), frame(spark, [(k * 6 + i, t) for k, t in rows for i in range(6)])).collect()
     # of 201 tokens the words that follow have 40 choices; learned, they cost little, however many histories there are
