@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stylomill.session import broadcast_if_small, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 #: ASCII-only case folding on UTF-8 bytes, and the table of white-space bytes.
@@ -37,6 +39,17 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return out
 
 
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """One row for each value of key, the same one in each run. Keys are counted apart from the rows, and only rows of keys that repeat are numbered, so most rows aren't shuffled."""
+    other, nth = unused("key", df.columns), unused("nth", df.columns)
+    counts = df.groupBy(F.col(key).alias(other)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(other)
+    twice = broadcast_if_small(stored(counts, "repeated-rows"))
+    same = F.col(key).eqNullSafe(F.col(other))
+    order = F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t))
+    several = df.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return df.join(twice, same, "left_anti").unionByName(several.where(F.col(nth) == 1).drop(nth))
+
+
 _ODD = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _INV = pow(_ODD, -1, 1 << 64)

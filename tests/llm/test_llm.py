@@ -417,17 +417,17 @@ def test_language(spark, rows):
 
 def test_language_code_lengths():
     """Costs against a plain walk through the contexts."""
-    counts = {"a": {b"abra": 3, b"abc": 1}, "b": {b"cab": 2}}
-    model = langid.Model(counts)
+    learned = {"a": [b"abra cad abra", b"abc  a\tb Abra"], "b": [b"cab a bac", b"b"]}
+    model = langid.Model({k: langid.gram_counts(v) for k, v in learned.items()})
+    stream = lambda t: langid.LEAD + b"".join(w + b" " for w in t.lower().split())
 
-    def bits(lang, word):
+    def bits(lang, text):
         tree = defaultdict(Counter)
-        for w, n in counts[lang].items():
-            s = langid.LEAD + w + langid.END
+        for s in map(stream, learned[lang]):
             for i in range(langid.ORDER, len(s)):
                 for k in range(langid.ORDER + 1):
-                    tree[s[i - k : i]][s[i]] += n
-        total, s = 0.0, langid.LEAD + word + langid.END
+                    tree[s[i - k : i]][s[i]] += 1
+        total, s = 0.0, stream(text)
         for i in range(langid.ORDER, len(s)):
             for k in range(langid.ORDER, -1, -1):
                 c = tree.get(s[i - k : i])
@@ -440,9 +440,24 @@ def test_language_code_lengths():
                 total += 8.0
         return total
 
-    for w in (b"abra", b"cab", b"xyz", b"abrac", b"a", b"bca"):
-        got = model.words([w, b"zz"])[0]
-        assert np.allclose(got, [bits("a", w), bits("b", w)])
+    scorer = langid.Scorer(model)
+    texts = [b"abra", b"cab a b", b"xyz", b"abrac  abra cad", b"a", b"bca a a bb\xc3\xa9 bcad abc", b"", b"a b c a b c abra abracad a"]
+    for _ in range(2):  # the second time from what is kept
+        got = scorer.sums(texts)
+        assert np.allclose(got, [[bits("a", t), bits("b", t)] for t in texts])
+
+
+def test_language_held_out_accuracy_and_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    got = langid.predict(docs.where(langid.held_out(F.col("doc_id"))), model, bits="rate").where("lang IS NOT NULL").collect()
+    assert len(got) > 150 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got)
+    assert max(r["rate"] for r in got) < 8
+    copied = frame(spark, [(i, f"the one text of label {i % 20} " * 3, f"l{i % 20:02}", "a") for i in range(400)])
+    assert langid.fit(copied).langs == [f"l{i:02}" for i in range(20)]
+    assert len(langid.fit(copied, sample_bytes=1).langs) == 20
+    ties = langid.predict(frame(spark, [(1, "same words", None, "a")]), langid.fit(frame(spark, [(i, "same words", x, "a") for i, x in enumerate("ba")])))
+    assert ties.first()["lang_pred"] == "a"
 
 
 def test_empty_tables(spark):
