@@ -2,11 +2,13 @@
 
 A payload is the text's UTF-8, padded with bytes 0 to a positive multiple of 64. A rolling gear hash over the last 32
 bytes cuts it where its upper bits are zero, so equal passages of different payloads give equal chunks wherever they
-stand. A payload's stored form is its recipe: the ordered list of its chunks' SHA-256 digests and lengths. The chunks
-themselves are a second table. A payload that occurs more than once is stored once; a chunk that several payloads share
-is stored with the one of the smallest digest, and the others refer to it. Both tables are written as Parquet to the
-shared folder. Reading joins references with the chunks they name, puts each payload together in order and verifies
-its length and SHA-256; what doesn't match raises an error.
+stand. What is stored of a payload is a row: its digest and length, and the ordered list of its chunks, each with SHA-256
+digest, length and, unless another place has them, its bytes. A chunk that several payloads share has its bytes with the
+one of the smallest digest, one that a payload repeats at its first place. A payload that several ids have is stored once
+(rows that repeat the id, too, or have none, store it again). Rows are written as Parquet to the shared folder. Reading
+joins references with the chunks they name, puts each payload together in order and verifies its length and SHA-256;
+what doesn't match raises an error. media_bytes and media_sha256 are those of the recipe, recipe_bytes(): digest and
+length of each chunk in order, without the chunks' bytes, as that is a payload's own form whatever others share with it.
 
 Only digests are shuffled to find shared chunks; of the chunks' bytes, those that are referred to travel.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import mix, table, text_bytes
+from stylomill.llm.common import mix, table, text_slices
 from stylomill.session import broadcast_if_small, shared_path, ship_package, stored
 
 UNIT = 64
@@ -79,8 +81,7 @@ def recipe_bytes(parts: list[tuple[bytes, int]]) -> bytes:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, sha, chunks): the text's digest and its chunks' digests, without bytes."""
-    for b in batches:
-        texts = text_bytes(b.column(1))
+    for b, texts in text_slices(batches, 1):
         digests = [[hashlib.sha256(c).digest() for c in chunks(pad(t))] for t in texts]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["id", "sha", "chunks"])
 
@@ -91,9 +92,9 @@ _CHUNK = pa.struct([("sha", pa.binary()), ("len", pa.int32()), ("lent", pa.bool_
 
 def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, foreign, lent) to stored rows: a chunk has its bytes unless it is stored elsewhere or earlier in the list."""
-    for b in batches:
+    for b, texts in text_slices(batches, 0):
         rows: list[list] = [[], [], [], [], []]
-        for text, foreign, lent in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for text, foreign, lent in zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist()):
             foreign, lent, seen, out = set(foreign or ()), set(lent or ()), set(), []
             for c in chunks(pad(text)):
                 d = hashlib.sha256(c).digest()
@@ -125,9 +126,20 @@ def feature(payload: bytes, n_chunks: int) -> str:
     return f"chunks={n_chunks};sum={int(b.sum(dtype=np.int64))};max={int(b.max())};distinct={len(np.unique(b))}"
 
 
+def _sized(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose second column is a payload's length, cut to about size bytes of payloads."""
+    for b in batches:
+        upto = np.cumsum(b.column(1).to_numpy())
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size)))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stored rows and what was fetched for them to payloads."""
-    for b in batches:
+    for b in _sized(batches):
         rows: list[list] = [[], [], [], []]
         for sha, n, parts, fetched in zip(*(b.column(i).to_pylist() for i in range(4))):
             payload = assemble(sha, n, parts, {x["chunk"]: x["own"] for x in fetched or ()})
@@ -171,7 +183,7 @@ def load(media: DataFrame) -> DataFrame:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _sized(batches):
         rows = []
         for sha, n, payload, recipe in zip(*(b.column(i).to_pylist() for i in range(4))):
             form = recipe_bytes([(p["sha"], p["len"]) for p in recipe])
