@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stylomill.llm import checks
 from stylomill.llm.bpe import op3_bpe
 from stylomill.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stylomill.llm.jaccard_join import OP1_SQL, op1_jaccard_join
@@ -13,5 +14,5 @@ from stylomill.llm.mixing import op4_mix_sources
 from stylomill.llm.secrets import op6_secret_scan
 from stylomill.llm.sharding import op9_shard_compaction
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op4_mix_sources": op4_mix_sources, "op5_lm_score": op5_lm_score, "op6_secret_scan": op6_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_media_chunks": op8_media_chunks, "op9_shard_compaction": op9_shard_compaction, "op10_language_id": op10_language_id}
-ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op4_mix_sources": op4_mix_sources, "op5_lm_score": op5_lm_score, "op6_secret_scan": op6_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_media_chunks": op8_media_chunks, "op9_shard_compaction": op9_shard_compaction, "op10_language_id": op10_language_id} | checks.QUERIES
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_line_dedup": OP7_SQL} | checks.ORACLE_SQL
