@@ -6,6 +6,8 @@ empty, denominators are at least 1, and counts are long.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ TOKEN, WORD = f"[^{WS}]+", r"[\p{L}\p{N}_]+"
 COMMON_WORDS = ("the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but", "his")
 MAX_SENTENCE, MAX_PUNCT = 100.0, 0.3
 
+#: Fixed values of a small word list of our own: word, polarity, subjectivity.
+SMALL_LEXICON = (("the", 0.1, 0.2), ("of", -0.2, 0.1), ("de", 0.3, 0.5), ("that", -0.4, 0.6), ("was", 0.05, 0.9))
+
 BASIC = ("text_length", "word_count", "ttr", "sentence_count", "avg_sentence_length", "punct_ratio", "sentiment_polarity", "sentiment_subjectivity")
 TUNED = (*BASIC, "digit_ratio", "upper_ratio", "bangs", "questions")
 RULES = ("ends_with_letter", "has_5gram_repetition", "max_uncommon_binary")
@@ -27,6 +32,14 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def unused_name(name: str, columns: list[str]) -> str:
+    """A column name that none of columns bears, whatever its case."""
+    taken, out = {c.lower() for c in columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -73,12 +86,21 @@ def ends_with_letter(text: Column) -> Column:
     return whole(text).rlike(rf"[A-Za-z][{WS}]*\z").cast("long")
 
 
+def shifted(a: Column, k: int, n: int) -> Column:
+    """The elements of a from place k (from 0) that have n - 1 - k others after them."""
+    return F.slice(a, k + 1, F.greatest(F.size(a) - (n - 1), F.lit(0)))
+
+
 def repeats_ngram(tk: Column, n: int = 5, least: int = 10) -> Column:
-    """1 if an n-gram of the tokens occurs twice; texts of fewer tokens than least have 0. Tokens hold no white space, so joined n-grams are as good as lists."""
-    def repeated(t: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")), lambda g: (F.size(F.array_distinct(g)) < F.size(g)).cast("long"))
+    """1 if an n-gram of the tokens occurs twice; texts of fewer tokens than least have 0. Hashes of n-grams tell which texts need their n-grams compared."""
+    def exact(t: Column) -> Column:
+        return let(ngrams(t, n, " "), lambda g: (F.size(F.array_distinct(g)) < F.size(g)).cast("long"))
+
+    def hashed(t: Column) -> Column:
+        made = let(F.transform(t, lambda x: F.xxhash64(x)), lambda h: reduce(lambda a, k: F.zip_with(a, shifted(h, k, n), lambda x, y: F.xxhash64(x, y)), range(1, n), shifted(h, 0, n)))
+        return let(made, lambda g: F.size(F.array_distinct(g)) < F.size(g))
 
-    return let(tk, lambda t: F.when(F.size(t) < least, F.lit(0).cast("long")).otherwise(repeated(t)))
+    return let(tk, lambda t: F.when(F.size(t) < least, F.lit(0).cast("long")).when(hashed(t), exact(t)).otherwise(F.lit(0).cast("long")))
 
 
 def repeats_uncommon(words: Column, times: int = 3, least: int = 5) -> Column:
@@ -86,7 +108,7 @@ def repeats_uncommon(words: Column, times: int = 3, least: int = 5) -> Column:
     def repeated(s: Column) -> Column:
         return F.exists(F.sequence(F.lit(0), F.size(s) - times), lambda i: s[i] == s[i + (times - 1)]).cast("long")
 
-    return let(F.array_sort(F.filter(words, lambda w: ~w.isin(*COMMON_WORDS))), lambda s: F.when(F.size(s) < least, F.lit(0).cast("long")).otherwise(repeated(s)))
+    return let(F.sort_array(F.filter(words, lambda w: ~w.isin(*COMMON_WORDS))), lambda s: F.when(F.size(s) < least, F.lit(0).cast("long")).otherwise(repeated(s)))
 
 
 def clean_text(text: Column) -> Column:
@@ -154,18 +176,26 @@ def smog(text: Column) -> Column:
     return F.when(word_count(text) == 0, 0.0).otherwise(1.043 * F.sqrt(complex_words(text) * 30.0 / sentence_count(text)) + 3.1291)
 
 
+def ngrams(tk: Column, n: int, sep: str) -> Column:
+    """The n-grams of an array that has been bound."""
+    return reduce(lambda g, k: F.zip_with(g, shifted(tk, k, n), lambda a, b: F.concat(a, F.lit(sep), b)), range(1, n), shifted(tk, 0, n))
+
+
 def word_ngrams(tk: Column, lo: int, hi: int, sep: str = " ") -> Column:
     """All n-grams of lo to hi tokens, repeats included."""
-    def grams(t: Column, n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), sep))
-        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<string>"))
+    def longer(t: Column, g: Column, n: int) -> Column:
+        """g, the n-grams of t, if they are wanted, and all longer ones."""
+        if n == hi:
+            return g
+        rest = let(F.zip_with(shifted(g, 0, 2), shifted(t, n, n + 1), lambda a, b: F.concat(a, F.lit(sep), b) if sep else F.concat(a, b)), lambda x: longer(t, x, n + 1))
+        return F.concat(g, rest) if n >= lo else rest
 
-    return let(tk, lambda t: F.concat(*(grams(t, n) for n in range(lo, hi + 1))))
+    return let(tk, lambda t: longer(t, t, 1))
 
 
 def char_ngrams(text: Column, lo: int, hi: int) -> Column:
     """All substrings of lo to hi characters, repeats included. Characters are taken apart once, so the work is linear in the text."""
-    return word_ngrams(tokens(text, "(?s:.)"), lo, hi, "")
+    return word_ngrams(F.filter(F.split(whole(text), ""), lambda c: c != ""), lo, hi, "")
 
 
 def char_ids(text: Column, alphabet: str, length: int = 1024) -> Column:

@@ -151,3 +151,17 @@ def qq_points(df: DataFrame, value: str, id_col: str = "id") -> DataFrame:
     n = F.broadcast(df.agg(F.count(F.lit(1)).alias("__n")))
     rows = ranked(df, "rank", [], [F.col(value), F.col(id_col)], unit_part((F.col(value) + 1) / 2))
     return rows.join(n).withColumn("position", (F.col("rank") - 0.5) / F.col("__n")).drop("__n")
+
+
+def quantiles(df: DataFrame, value: str, at: dict[str, float], by: str, id_col: str = "id") -> DataFrame:
+    """(by, name...): for each group the exact quantiles of a value in [0, 1], between two ranks in proportion. Values are ranked by ranges, so no task holds a group; nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).cast("double").alias("v"), F.col(id_col).alias("id"))
+    n = F.broadcast(rows.groupBy(F.col("by").alias("g")).agg(F.count(F.lit(1)).alias("n")))  # a row for each group
+    placed = ranked(rows, "rank", [F.col("by")], [F.col("v"), F.col("id")], unit_part(F.col("v"))).join(n, F.col("by").eqNullSafe(F.col("g")))
+    parts = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("n") - 1)
+        low = F.floor(place)
+        share = F.when(F.col("rank") - 1 == low, 1 - (place - low)).when(F.col("rank") - 2 == low, place - low).otherwise(0.0)
+        parts.append(F.sum(share * F.col("v")).alias(name))
+    return placed.groupBy(F.col("by").alias(by)).agg(*parts)

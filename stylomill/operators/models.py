@@ -6,10 +6,9 @@ import itertools
 import random
 import time
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -17,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
-from stylomill.operators import metrics, tfidf
-from stylomill.operators.folds import stratified_folds
-from stylomill.session import shared_dir
-from stylomill.sources.files import TrialLog, signature
+from stylomill.operators import boosting, metrics, tfidf
+from stylomill.operators.folds import shuffled_folds, stratified_folds
+from stylomill.sources.files import Folder, TrialLog, signature
 
 
 @dataclass(frozen=True)
@@ -41,10 +39,18 @@ class Config:
     drop_below: float = 0.65
 
 
-#: Search spaces.
-LR_SPACE = {"C": [0.25, 0.5, 1.0, 2.0, 4.0], "class_weight": [None, "balanced"], "solver": ["liblinear", "lbfgs"]}
+#: The search spaces of the tuned pipeline, and of the one with rules. Solvers have no counterpart, so they aren't searched.
+LR_SPACE = {"C": [0.1, 0.3, 1.0, 3.0, 10.0], "class_weight": [None, "balanced"]}
+GBT_SPACE = {
+    "n_estimators": [500], "max_depth": [3, 4, 5, 6, 7], "learning_rate": [0.03, 0.05, 0.07, 0.1], "subsample": [0.7, 0.8, 0.9],
+    "colsample_bytree": [0.6, 0.8, 1.0], "reg_alpha": [0.0, 0.1, 0.5], "reg_lambda": [0.5, 1.0, 1.5],
+}
+RULES_LR_SPACE = {"C": [0.5, 1.0, 2.0, 4.0], "class_weight": [None, "balanced"]}
+RULES_GBT_SPACE = {
+    "n_estimators": [500], "max_depth": [4, 6, 8], "learning_rate": [0.05, 0.1], "min_child_weight": [1, 3], "subsample": [0.7, 1.0],
+    "colsample_bytree": [0.7, 1.0], "reg_alpha": [0.0, 0.1, 0.5], "reg_lambda": [0.5, 1.0, 1.5],
+}
 NB_SPACE = {"alpha": [0.01, 0.05, 0.1, 0.5, 1.0]}
-GBT_SPACE = {"n_estimators": [500], "max_depth": [3, 4, 5, 6, 7], "learning_rate": [0.03, 0.05, 0.07, 0.1], "subsample": [0.7, 0.8, 0.9]}
 
 
 def text_features(df: DataFrame, cfg: Config) -> DataFrame:
@@ -55,8 +61,7 @@ def text_features(df: DataFrame, cfg: Config) -> DataFrame:
 
 def fit_vectors(train: DataFrame, cfg: Config) -> PipelineModel:
     """The vector stages, fitted on train only. The vocabulary is made relationally, so ties break by term and not by chance."""
-    tf = tfidf.term_counts(train, F.col("grams"))
-    rows = tfidf.idf(tfidf.vocabulary(tf, cfg.max_features, cfg.min_df), train).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()  # max_features rows
+    rows = tfidf.idf(tfidf.vocabulary(tfidf.gram_counts(train, F.col("grams")), cfg.max_features, cfg.min_df), train).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()  # max_features rows
     terms = [r["term"] for r in rows] or [""]
     idf = Vectors.dense([r["idf"] for r in rows] or [1.0])
     stages = [
@@ -83,26 +88,23 @@ def class_weights(df: DataFrame, mode: str | None, label: str = "label") -> Data
     return df.withColumn("w", F.when(F.col(label) == 1, (n0 + n1) / (2 * max(n1, 1))).otherwise((n0 + n1) / (2 * max(n0, 1))))
 
 
-def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, **ignored):
-    """Logistic regression with the inverse regularization C. The solver has no counterpart and is only kept on record."""
+def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000):
+    """Logistic regression with the inverse regularization C."""
     rows = class_weights(df, class_weight)
     return LogisticRegression(regParam=1 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w").fit(rows)
 
 
-def fit_nb(df: DataFrame, alpha: float = 1.0, **ignored):
+def fit_nb(df: DataFrame, alpha: float = 1.0):
     """Multinomial naive Bayes; polarity, the one feature that may be negative, is at least -1 and 0.0 here."""
     return NaiveBayes(modelType="multinomial", smoothing=alpha).fit(df)
 
 
-def fit_gbt(df: DataFrame, n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.1, subsample: float = 1.0, seed: int = 42, min_child_weight: int = 1, valid_col: str | None = None, **ignored):
-    """Boosted trees; positives weigh n0 / n1. L1 and L2 terms have no counterpart."""
-    rows = class_weights(df, "scaled")
-    shared_dir(df.sparkSession)  # hundreds of rounds need their lineage cut
-    gbt = GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, maxBins=256, seed=seed, weightCol="w", minInstancesPerNode=min_child_weight)
-    return (gbt.setValidationIndicatorCol(valid_col) if valid_col else gbt).fit(rows)
+def fit_gbt(df: DataFrame, valid: DataFrame | None = None, folder: Folder | None = None, **params):
+    """Boosted trees, 500 of depth 6 unless params say otherwise; positives weigh n0 / n1. With a folder, training resumes from its last chunk."""
+    return boosting.fit(df, boosting.Params(**params), valid=valid, folder=folder)
 
 
-def fit_svc(df: DataFrame, reg: float = 0.01, max_iter: int = 20, **ignored):
+def fit_svc(df: DataFrame, reg: float = 0.01, max_iter: int = 20):
     return LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(df)
 
 
@@ -150,13 +152,30 @@ def candidates(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
     return random.Random(seed).sample(grid, min(n_iter, len(grid)))
 
 
+def identity(df: DataFrame, id_col: str = "id", label: str = "label", features: str = "features") -> dict:
+    """What tells a table of training rows from another: rows, features, and a hash of the content, whatever its order."""
+    v = F.unwrap_udt(F.col(features))
+    row = F.xxhash64(F.col(id_col), F.col(label).cast("double"), v["indices"], v["values"])
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.max(v["size"]).alias("size"), F.max(F.size(v["values"])).alias("dense"), F.bit_xor(row).alias("content"), F.sum(F.pmod(row, F.lit(1 << 30))).alias("sum")).first()
+    return seen.asDict()
+
+
+def _trial(fit, train: DataFrame, valid: DataFrame, params: dict, score: str) -> dict:
+    try:
+        scored = fit(train, **params).transform(valid).withColumn("pred", F.col("prediction").cast("int"))
+        return {"status": "ok", score: metrics.binary_f1(scored).first()[0], "error": None}
+    except Exception as e:  # a candidate that can't be fitted is a trial, too
+        return {"status": "fail", score: None, "error": str(e)[:500]}
+
+
 def random_search(name: str, fit, space: dict[str, list], df: DataFrame, cfg: Config, id_col: str = "id", retry_failed: bool = False) -> tuple[dict, list[dict]]:
-    """Best parameters and all trials of a stratified search that resumes from its log. A candidate counts if all its folds scored; of ties the first wins."""
+    """Best parameters and all trials of a stratified search that resumes from its log of the same rows and settings. A candidate counts if all its folds scored; of ties the first wins."""
     found = candidates(space, cfg.n_iter, cfg.seed)
-    log = TrialLog(Path(cfg.artifacts) / f"{name}-{signature({'space': space, 'n': cfg.n_iter, 'k': cfg.kfolds, 'seed': cfg.seed})}.jsonl")
-    done = {(r["cand_idx"], r["fold_idx"]) for r in log.rows() if not (retry_failed and r["status"] != "ok")}
-    rows, began = stratified_folds(df, cfg.kfolds, id_col=id_col).cache(), time.time()
-    best_so_far = max((r["score"] for r in log.rows() if r["status"] == "ok"), default=0.0)
+    log = TrialLog(df.sparkSession, cfg.artifacts, f"{name}-{signature({'space': space, 'n': cfg.n_iter, 'k': cfg.kfolds, 'seed': cfg.seed, 'data': identity(df, id_col)})}")
+    trials = log.rows()
+    done = {(r["cand_idx"], r["fold_idx"]) for r in trials if not (retry_failed and r["status"] != "ok")}
+    rows, began = stratified_folds(df, cfg.kfolds, id_col=id_col).persist(), time.time()
+    best_so_far = max((r["score"] for r in trials if r["status"] == "ok"), default=0.0)
     for i, params in enumerate(found):
         for k in range(cfg.kfolds):
             took = time.time() - began
@@ -165,35 +184,24 @@ def random_search(name: str, fit, space: dict[str, list], df: DataFrame, cfg: Co
             if took > cfg.budget_sec or took > cfg.drop_after_sec and best_so_far < cfg.drop_below:
                 break
             at = time.time()
-            try:
-                model = fit(rows.where(F.col("fold") != k), **params)
-                scored = model.transform(rows.where(F.col("fold") == k)).withColumn("pred", F.col("prediction").cast("int"))
-                row = {"status": "ok", "score": metrics.binary_f1(scored).first()[0], "error": None}
-                best_so_far = max(best_so_far, row["score"])
-            except Exception as e:  # a candidate that can't be fitted is a trial, too
-                row = {"status": "fail", "score": None, "error": str(e)[:500]}
+            row = _trial(fit, rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), params, "score")
+            best_so_far = max(best_so_far, row["score"] or 0.0)
             log.append({"cand_idx": i, "fold_idx": k, "elapsed_sec": time.time() - at, "params": params} | row)
     rows.unpersist()
     trials = log.rows()
-    scores = {i: [r["score"] for r in trials if r["cand_idx"] == i and r["status"] == "ok"] for i in range(len(found))}
-    whole = [(sum(s) / len(s), -i) for i, s in scores.items() if len(s) >= cfg.kfolds]
+    scores = {i: {r["fold_idx"]: r["score"] for r in trials if r["cand_idx"] == i and r["status"] == "ok"} for i in range(len(found))}
+    whole = [(sum(s.values()) / len(s), -i) for i, s in scores.items() if len(s) >= cfg.kfolds]
     return (found[-max(whole)[1]] if whole else found[0]), trials
 
 
 def tune_holdout(name: str, fit, space: dict[str, list], train: DataFrame, valid: DataFrame, cfg: Config) -> tuple[dict, list[dict]]:
     """As random_search(), but each candidate is scored once, on valid."""
     found = candidates(space, cfg.n_iter, cfg.seed)
-    log = TrialLog(Path(cfg.artifacts) / f"{name}-holdout-{signature({'space': space, 'n': cfg.n_iter, 'seed': cfg.seed})}.jsonl")
+    log = TrialLog(train.sparkSession, cfg.artifacts, f"{name}-holdout-{signature({'space': space, 'n': cfg.n_iter, 'seed': cfg.seed, 'data': [identity(train), identity(valid)]})}")
     done = {r["iter_idx"] for r in log.rows()}
     for i, params in enumerate(found):
-        if i in done:
-            continue
-        try:
-            scored = fit(train, **params).transform(valid).withColumn("pred", F.col("prediction").cast("int"))
-            row = {"status": "ok", "f1": metrics.binary_f1(scored).first()[0], "error": None}
-        except Exception as e:
-            row = {"status": "fail", "f1": None, "error": str(e)[:500]}
-        log.append({"iter_idx": i, "params": params} | row)
+        if i not in done:
+            log.append({"iter_idx": i, "params": params} | _trial(fit, train, valid, params, "f1"))
     trials = log.rows()
     ok = [(r["f1"], -r["iter_idx"]) for r in trials if r["status"] == "ok"]
     return (found[-max(ok)[1]] if ok else found[0]), trials
@@ -206,7 +214,7 @@ def coefficients(model, names: list[str], top: int = 25) -> list[tuple[str, floa
 
 
 def importances(model, names: list[str], top: int = 25) -> list[tuple[str, float]]:
-    ranked = sorted(enumerate(model.featureImportances.toArray()), key=lambda x: (-x[1], x[0]))[:top]
+    ranked = sorted(enumerate(model.featureImportances), key=lambda x: (-x[1], x[0]))[:top]
     return [(names[i], float(c)) for i, c in ranked]
 
 
@@ -214,14 +222,8 @@ def feature_names(vectors: PipelineModel, cfg: Config) -> list[str]:
     return [*cfg.columns, *vectors.stages[0].vocabulary]
 
 
-def save(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
 def cross_validate(fit, df: DataFrame, k: int = 5, id_col: str = "id") -> float:
     """Mean macro F1 over k shuffled folds."""
-    from stylomill.operators.folds import shuffled_folds
-
     rows = shuffled_folds(df, k, id_col).persist()
     scores = []
     for i in range(k):
@@ -231,12 +233,12 @@ def cross_validate(fit, df: DataFrame, k: int = 5, id_col: str = "id") -> float:
     return sum(scores) / k
 
 
-def compare(fitters: dict, train: DataFrame, valid: DataFrame, k: int = 5) -> DataFrame:
-    """(model, cv_f1, val_f1); without folds (k = 0) cv_f1 is NaN."""
+def compare(fitters: dict, train: DataFrame, valid: DataFrame, k: int = 5, cv: tuple[str, ...] | None = None) -> DataFrame:
+    """(model, cv_f1, val_f1): macro F1 by folds of train, and on valid. Models that cv leaves out have NaN for cv_f1; cv = None is all."""
     rows = []
     for name, fit in fitters.items():
         scored = fit(train).transform(valid).withColumn("pred", F.col("prediction").cast("int"))
-        rows.append((name, cross_validate(fit, train, k) if k else float("nan"), metrics.macro_f1(scored).first()[0] or 0.0))
+        rows.append((name, cross_validate(fit, train, k) if cv is None or name in cv else float("nan"), metrics.macro_f1(scored).first()[0] or 0.0))
     return train.sparkSession.createDataFrame(rows, "model string, cv_f1 double, val_f1 double")
 
 

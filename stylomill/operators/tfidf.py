@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
@@ -21,13 +21,25 @@ def term_counts(df: DataFrame, grams: Column, id_col: str = "id") -> DataFrame:
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
-    """(term, df, cf)."""
+    """(term, df, cf) from term_counts()."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def vocabulary(tf: DataFrame, size: int, min_df: int = 1) -> DataFrame:
-    """(term, df, cf) of the `size` terms with the largest counts in the corpus; of ties the first term."""
-    return document_frequency(tf).where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), "term").limit(size)
+def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
+    """(term, df, cf) of an array of terms a row, in one shuffle: sorted within the row, a term's first occurrence counts for df. Tasks sum up before they send."""
+    marked = X.let(F.sort_array(grams), lambda s: F.zip_with(s, F.concat(F.array(F.lit(None).cast("string")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("term"), (b.isNull() | (a != b)).cast("long").alias("first"))))
+    rows = df.select(F.explode(F.filter(marked, lambda r: r["term"].isNotNull())).alias("r"))
+    return rows.groupBy(F.col("r.term").alias("term")).agg(F.sum("r.first").alias("df"), F.count(F.lit(1)).alias("cf"))
+
+
+def gram_df(df: DataFrame, grams: Column, term: str = "term") -> DataFrame:
+    """(term, df) of an array of terms a row, in one shuffle of each row's distinct terms."""
+    return df.select(F.explode(F.array_distinct(grams)).alias(term)).groupBy(term).agg(F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary(counts: DataFrame, size: int, min_df: int = 1) -> DataFrame:
+    """Of (term, df, cf), the `size` terms with the largest counts in the corpus; of ties the first term."""
+    return counts.where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), "term").limit(size)
 
 
 def idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,10 +49,10 @@ def idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def weighted(tf: DataFrame, idfs: DataFrame, log_tf: bool = False) -> DataFrame:
-    """(id, term, weight): tf (or ln(1 + tf)) times idf, each document's weights of norm 1; terms without idf drop out."""
-    raw = tf.join(idfs.select("term", "idf"), "term").withColumn("w", (F.log1p("tf") if log_tf else F.col("tf")) * F.col("idf"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(id, term, weight): tf (or ln(1 + tf)) times idf, each document's weights of norm 1; terms without idf drop out. idfs is a vocabulary of a size given beforehand, so it is broadcast."""
+    raw = tf.join(F.broadcast(idfs.select("term", "idf")), "term").withColumn("w", (F.log1p("tf") if log_tf else F.col("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # a document's known terms
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def hashed_counts(df: DataFrame, grams: Column, dim: int = 1 << 19, id_col: str = "id") -> DataFrame:
@@ -49,6 +61,15 @@ def hashed_counts(df: DataFrame, grams: Column, dim: int = 1 << 19, id_col: str
     return df.select(F.col(id_col).alias("id"), F.explode(grams).alias("term")).groupBy("id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def hashed_parts(df: DataFrame, text: str = "text", id_col: str = "id", dim: int = 1 << 19, words: tuple[int, int] = (1, 2), chars: tuple[int, int] = (3, 5)) -> DataFrame:
+    """(id, part, slot, tf): of part w all tokens and their n-grams of words, joined by _, of part c all tokens and the n-grams of characters."""
+    tk = X.tokens(F.col(text))
+    rows = df.select(F.col(id_col).alias("id"), tk.alias("tk"), X.char_ngrams(F.col(text), *chars).alias("chars"))
+    parts = [rows.select("id", F.lit(p).alias("part"), F.explode(F.concat("tk", more)).alias("term")) for p, more in (("w", X.word_ngrams(F.col("tk"), *words, sep="_")), ("c", F.col("chars")))]
+    slot = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim))
+    return parts[0].unionByName(parts[1]).groupBy("id", "part", slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
+
+
 def lexical_richness(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """(id, n_tokens, ttr, hapax_ratio, dis_ratio, yule_k) of documents that have tokens."""
     v = term_counts(df, X.tokens(F.col(text)), id_col)
@@ -57,12 +78,20 @@ def lexical_richness(df: DataFrame, text: str = "text", id_col: str = "id") -> D
     return v.groupBy("id").agg(n.alias("n_tokens"), (F.count(F.lit(1)) / n).alias("ttr"), share(1).alias("hapax_ratio"), share(2).alias("dis_ratio"), (1e4 * (s2 - n) / (n * n + 1e-12)).alias("yule_k"))
 
 
+#: A term is hot if it makes up this share of all tokens: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
+
+
 def zipf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """(id, zipf_mean, zipf_std): mean and deviation over tokens of log10(1e9 x share of the corpus); of documents that have tokens."""
     tf = term_counts(df, X.tokens(F.lower(X.whole(F.col(text)))), id_col)
     cf = document_frequency(tf).select("term", "cf")
     total = F.broadcast(cf.agg(F.sum("cf").alias("total")))
-    z = tf.join(cf.join(total).select("term", F.log10(1e9 * F.col("cf") / F.col("total")).alias("z")), "term")
+    z = cf.join(total).select("term", F.log10(1e9 * F.col("cf") / F.col("total")).alias("z"), (F.col("cf") >= F.col("total") * HOT_SHARE).alias("hot"))
+    # rows of hot terms, which occur in nearly all documents, meet their few values by broadcast; the others are shuffled
+    head = F.broadcast(z.where("hot").select("term", F.col("z").alias("hot_z")))
+    rows = tf.join(head, "term", "left")
+    rows = rows.where("hot_z IS NOT NULL").select("id", "tf", F.col("hot_z").alias("z")).unionByName(rows.where("hot_z IS NULL").select("id", "term", "tf").join(z.where("NOT hot").select("term", "z"), "term").select("id", "tf", "z"))
     n, s = F.sum("tf"), F.sum(F.col("tf") * F.col("z"))
     s2 = F.sum(F.col("tf") * F.col("z") * F.col("z"))
-    return z.groupBy("id").agg((s / n).alias("zipf_mean"), F.sqrt(F.greatest(s2 / n - (s / n) * (s / n), F.lit(0.0))).alias("zipf_std"))
+    return rows.groupBy("id").agg((s / n).alias("zipf_mean"), F.sqrt(F.greatest(s2 / n - (s / n) * (s / n), F.lit(0.0))).alias("zipf_std"))

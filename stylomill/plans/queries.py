@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files make fewer tasks, as a row costs far more here than sending it does; df as it is where they make enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -64,7 +70,7 @@ def feature_sql(columns: tuple[str, ...]) -> str:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return X.with_features(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 COUNTED = ("text_length", "word_count", "sentence_count", "punct_count")
@@ -197,14 +203,21 @@ def _terms(lo: int, hi: int, cte: str = "documents", id_col: str = "doc_id") ->
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(flatten([{parts}])) AS term FROM mt) GROUP BY doc_id, term)"""
 
 
+def model_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tfidf.model_tokens(F.col("text")).alias("tk"))
+
+
 def terms(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.model_tokens(F.col("text")).alias("tk"))
-    return tfidf.term_counts(docs, X.word_ngrams(F.col("tk"), lo, hi), "doc_id")
+    return tfidf.term_counts(model_terms(spark, sf_dir), X.word_ngrams(F.col("tk"), lo, hi), "doc_id")
+
+
+def counted(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
+    return tfidf.gram_counts(model_terms(spark, sf_dir), X.word_ngrams(F.col("tk"), lo, hi))
 
 
 @query("ngram_df", f"WITH {_terms(1, 3)} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
 def ngram_df(spark, sf_dir):
-    return tfidf.document_frequency(terms(spark, sf_dir, 1, 3))
+    return counted(spark, sf_dir, 1, 3)
 
 
 _VOCAB = "vocab AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT {})"
@@ -213,13 +226,12 @@ _IDF = "idf AS (SELECT *, ln((1 + (SELECT count(*) FROM documents)) / (1 + df))
 
 @query("vocabulary_topk", f"WITH {_terms(1, 2)}, {_VOCAB.format(5000)} SELECT * FROM vocab")
 def vocabulary_topk(spark, sf_dir):
-    return tfidf.vocabulary(terms(spark, sf_dir, 1, 2), 5000, 2)
+    return tfidf.vocabulary(counted(spark, sf_dir, 1, 2), 5000, 2)
 
 
 @query("idf_table", f"WITH {_terms(1, 1)}, {_VOCAB.format(2000)}, {_IDF} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def idf_table(spark, sf_dir):
-    tf = terms(spark, sf_dir, 1, 1)
-    return rounded(tfidf.idf(tfidf.vocabulary(tf, 2000, 2), table(spark, sf_dir, "documents")).select("term", "df", "idf"), "idf")
+    return rounded(tfidf.idf(tfidf.vocabulary(counted(spark, sf_dir, 1, 1), 2000, 2), table(spark, sf_dir, "documents")).select("term", "df", "idf"), "idf")
 
 
 def _weights_sql(w: str) -> str:
@@ -228,7 +240,7 @@ def _weights_sql(w: str) -> str:
 
 def _weighted(spark: SparkSession, sf_dir: str, log_tf: bool) -> DataFrame:
     tf = terms(spark, sf_dir, 1, 1)
-    idfs = tfidf.idf(tfidf.vocabulary(tf, 2000, 2), table(spark, sf_dir, "documents"))
+    idfs = tfidf.idf(tfidf.vocabulary(counted(spark, sf_dir, 1, 1), 2000, 2), table(spark, sf_dir, "documents"))
     return rounded(tfidf.weighted(tf, idfs, log_tf).withColumnRenamed("id", "doc_id"), "weight")
 
 
@@ -246,9 +258,7 @@ def tfidf_log1p(spark, sf_dir):
 g AS (SELECT DISTINCT doc_id, unnest(flatten([list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: t[i:i+2]), list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: t[i:i+3])])) AS gram FROM r)
 SELECT gram, count(*) AS df FROM g GROUP BY gram""")
 def char_ngrams_df(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    grams = tfidf.term_counts(docs, X.char_ngrams(F.col("text"), 3, 4), "doc_id")
-    return grams.groupBy(F.col("term").alias("gram")).agg(F.count(F.lit(1)).alias("df"))
+    return tfidf.gram_df(spread(table(spark, sf_dir, "documents").select("text")), X.char_ngrams(F.col("text"), 3, 4), "gram")
 
 
 @query("char_ngrams35_df", """WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -256,9 +266,7 @@ g AS (SELECT DISTINCT doc_id, unnest(flatten([list_transform(range(1, greatest(l
 SELECT gram, count(*) AS df FROM g GROUP BY gram""")
 def char_ngrams35_df(spark, sf_dir):
     """The reference's lengths; char_ngrams_df stops at 4."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    grams = tfidf.term_counts(docs, X.char_ngrams(F.col("text"), 3, 5), "doc_id")
-    return grams.groupBy(F.col("term").alias("gram")).agg(F.count(F.lit(1)).alias("df"))
+    return tfidf.gram_df(spread(table(spark, sf_dir, "documents").select("text")), X.char_ngrams(F.col("text"), 3, 5), "gram")
 
 
 @query("hashed_tf", f"""WITH {_terms(1, 2)} SELECT doc_id, ('0x' || substring(md5(term), 1, 8))::BIGINT % 524288 AS slot, sum(tf)::BIGINT AS tf FROM tf GROUP BY ALL""")
@@ -267,6 +275,29 @@ def hashed_tf(spark, sf_dir):
     return tfidf.hashed_counts(docs, X.word_ngrams(F.col("tk"), 1, 2), id_col="doc_id").withColumnRenamed("id", "doc_id")
 
 
+_ALL_GRAMS = rf"""r AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS tk FROM documents),
+g AS (SELECT doc_id, unnest(flatten([tk, tk, CASE WHEN len(tk) >= 2 THEN list_transform(range(1, len(tk)), lambda i: tk[i] || '_' || tk[i+1]) ELSE [] END])) AS term, 'w' AS part FROM r
+      UNION ALL SELECT doc_id, unnest(flatten([tk, list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: t[i:i+2]), list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: t[i:i+3]), list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: t[i:i+4])])), 'c' FROM r)"""
+
+
+@query("hashed_tf_full", f"""WITH {_ALL_GRAMS} SELECT doc_id, part, ('0x' || substring(md5(term), 1, 8))::BIGINT % 524288 AS slot, count(*) AS tf FROM g GROUP BY ALL""")
+def hashed_tf_full(spark, sf_dir):
+    """Both hashed matrices: tokens with 1- to 2-grams of words, so that single ones count twice, and tokens with 3- to 5-grams of characters."""
+    return tfidf.hashed_parts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), id_col="doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query("lexicon_shares", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{{WORD}}')) AS w FROM documents), l(word, p, s) AS (VALUES {{LEX}}),
+m AS (SELECT doc_id, coalesce(p, 0.0::DOUBLE) AS p FROM t LEFT JOIN l ON w = word),
+a AS (SELECT doc_id, count(*) FILTER (WHERE p < 0) / count(*) AS neg, count(*) FILTER (WHERE p = 0) / count(*) AS neu, count(*) FILTER (WHERE p > 0) / count(*) AS pos, sum(p) AS s FROM m GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(neg, 0.0), 9) AS sent_neg, round(coalesce(neu, 0.0), 9) AS sent_neu, round(coalesce(pos, 0.0), 9) AS sent_pos, round(coalesce(s / sqrt(s * s + 15), 0.0), 9) AS sent_compound FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id""".format(WORD=_WORD, LEX=", ".join(f"('{w}', {p!r}::DOUBLE, {s!r}::DOUBLE)" for w, p, s in X.SMALL_LEXICON)))
+def lexicon_shares(spark, sf_dir):
+    from stylomill.operators.lexicon import shares
+
+    lexicon = F.broadcast(spark.createDataFrame(X.SMALL_LEXICON, "word string, polarity double, subjectivity double"))
+    df = shares(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), lexicon, id_col="doc_id").withColumnRenamed("id", "doc_id")
+    return rounded(df, "sent_neg", "sent_neu", "sent_pos", "sent_compound")
+
+
 @query("lexical_richness", rf"""WITH v AS (SELECT doc_id, tok, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TOKEN}')) AS tok FROM documents) GROUP BY ALL)
 SELECT doc_id, sum(c)::BIGINT AS n_tokens, round(count(*) / sum(c), 9) AS ttr, round(count(*) FILTER (WHERE c = 1) / count(*), 9) AS hapax_ratio, round(count(*) FILTER (WHERE c = 2) / count(*), 9) AS dis_ratio,
 round(1e4 * (sum(c * c) - sum(c)) / (sum(c)::DOUBLE * sum(c) + 1e-12), 6) AS yule_k FROM v GROUP BY doc_id""")
@@ -412,16 +443,19 @@ def rule_subset_sweep(spark, sf_dir):
     return rounded(metrics.rule_sweep(scored(spark, sf_dir), list(X.RULES)), "f1")
 
 
-@query("head_ranking", f"""WITH {_SCORED}, {_sweep_sql(metrics.weights(), metrics.thresholds())}, {_PREV}, {_rule_sql()}, heads AS (
+@query("head_ranking", f"""WITH {_SCORED}, {_sweep_sql(metrics.weights(), metrics.thresholds())}, {_rule_sql()},
+top AS (SELECT w FROM sf ORDER BY f1 DESC, w, thr LIMIT 1),
+mixed AS (SELECT doc_id, label, (SELECT w FROM top) * p1 + (1 - (SELECT w FROM top)) * p2 AS p FROM scored),
+prev AS (SELECT *, (row_number() OVER (ORDER BY p DESC, doc_id) <= (SELECT round_even(avg(label) * count(*), 0) FROM scored))::INTEGER AS flag FROM mixed), heads AS (
 SELECT 'threshold' AS head, 0 AS priority, max(f1) AS f1 FROM sf UNION ALL
 SELECT 'prevalence', 1, coalesce(2 * count(*) FILTER (WHERE label = 1 AND flag = 1) / nullif(sum(label) + sum(flag), 0), 0.0) FROM prev UNION ALL
 SELECT 'rule', 2, max(f1) FROM rf)
-SELECT head, round(f1, 9) AS f1, row_number() OVER (ORDER BY heads.f1 DESC, priority) AS place FROM heads""")
+SELECT head, round(f1, 9) AS f1, row_number() OVER (ORDER BY heads.f1 DESC, priority) AS place, (SELECT w FROM top) AS w FROM heads""")
 def head_ranking(spark, sf_dir):
     from stylomill.operators.heads import ranking
 
     rows = scored(spark, sf_dir)
-    return rounded(ranking(rows, rows, list(X.RULES), id_col="doc_id").select("head", "f1", "place"), "f1")
+    return rounded(ranking(rows, rows, list(X.RULES), id_col="doc_id").select("head", "f1", "place", "w"), "f1")
 
 
 @query("misclassified_rows", f"WITH {_SCORED} SELECT doc_id, label, pred, p1 FROM scored WHERE label <> pred ORDER BY doc_id LIMIT 12")
@@ -470,8 +504,8 @@ def feature_corr(spark, sf_dir):
 
 @query("feature_quartiles", f"WITH {_FEATS} SELECT quality AS label, round(quantile_cont(ttr, 0.25), 9) AS q1, round(quantile_cont(ttr, 0.5), 9) AS q2, round(quantile_cont(ttr, 0.75), 9) AS q3 FROM feats f JOIN labels l ON f.doc_id = l.doc_id GROUP BY quality")
 def feature_quartiles(spark, sf_dir):
-    f = X.with_features(labelled(spark, sf_dir)).groupBy("label").agg(F.percentile("ttr", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return f.select("label", *(F.round(F.col("q")[i], 9).alias(f"q{i + 1}") for i in range(3)))
+    rows = X.with_features(spread(labelled(spark, sf_dir))).select("doc_id", "label", "ttr")
+    return rounded(metrics.quantiles(rows, "ttr", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, "label", "doc_id"), "q1", "q2", "q3")
 
 
 @query("label_histogram", f"WITH {_FEATS} SELECT quality AS label, floor(ttr * 10)::BIGINT AS bin, count(*) AS n FROM feats f JOIN labels l ON f.doc_id = l.doc_id GROUP BY ALL")
@@ -522,8 +556,7 @@ def knn_vote(spark, sf_dir):
     return neighbours(spark, sf_dir).groupBy("query").agg((F.avg((F.col("label") >= 5).cast("int")) >= 0.5).cast("int").alias("pred"))
 
 
-#: Fixed values of a small word list of our own: word, polarity, subjectivity.
-LEXICON = (("the", 0.1, 0.2), ("of", -0.2, 0.1), ("de", 0.3, 0.5), ("that", -0.4, 0.6), ("was", 0.05, 0.9))
+LEXICON = X.SMALL_LEXICON
 _LEX = ", ".join(f"('{w}', {p!r}::DOUBLE, {s!r}::DOUBLE)" for w, p, s in LEXICON)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,21 +34,32 @@ def build_session(app: str = "stylomill", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Without one, a folder of our own in local mode; a cluster must name one."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir")
-    if given:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(given)
-        return given.rstrip("/")
+    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"file:///tmp/checkpoints/{sc.applicationId}")
-    return f"file:///tmp/checkpoints/{sc.applicationId}"
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or f"file:///tmp/checkpoints/{sc.applicationId}")
+        _forget_at_exit(spark, sc.getCheckpointDir())
+    return (given or sc.getCheckpointDir()).rstrip("/")
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """The JVM removes path when it ends in good order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in one of this application's that goes when it ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _shipped:
+        _shipped.add(own)
+        p = spark._jvm.org.apache.hadoop.fs.Path(own)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+        _forget_at_exit(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,7 +83,9 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
-    zipped = Path(tempfile.mkdtemp()) / "stylomill.zip"
+    folder = tempfile.mkdtemp()  # the driver's; Spark hands the file on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    zipped = Path(folder) / "stylomill.zip"
     with zipfile.ZipFile(zipped, "w") as z:
         for p in (ROOT / "stylomill").rglob("*.py"):
             z.write(p, p.relative_to(ROOT))

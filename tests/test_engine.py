@@ -116,8 +116,10 @@ def test_prevalence_and_heads(spark, frame):
     ranked = heads.ranking(ruled, ruled, ["a", "b"]).orderBy("place").collect()
     assert [r["f1"] for r in ranked] == sorted((r["f1"] for r in ranked), reverse=True)
     for r in ranked:
-        out = heads.decide(ruled.drop("label"), r, "p1")
-        assert {x["label"] for x in out.collect()} <= {0, 1}
+        p = f"{r['w']} * p1 + (1 - {r['w']}) * p2"
+        out = heads.decide(ruled.withColumns({"y": F.col("label"), "p": F.expr(p)}).drop("label"), r).collect()
+        # what is applied scores as it was judged
+        assert math.isclose(f1_of([(0, 0, 0, x["y"]) for x in out], [x["label"] for x in out]), r["f1"]), r
 
 
 def test_report(spark, frame):
@@ -139,7 +141,7 @@ def test_tfidf_matches_the_ml_path(spark):
     terms = vectors.stages[0].vocabulary
     ml = {(r["id"], terms[int(i)]): v for r in vectors.transform(rows).collect() for i, v in zip(r["tfidf_l2"].indices, r["tfidf_l2"].values)}
     tf = tfidf.term_counts(rows, F.col("grams"))
-    rel = {(r["id"], r["term"]): r["weight"] for r in tfidf.weighted(tf, tfidf.idf(tfidf.vocabulary(tf, 50), df)).collect()}
+    rel = {(r["id"], r["term"]): r["weight"] for r in tfidf.weighted(tf, tfidf.idf(tfidf.vocabulary(tfidf.document_frequency(tf), 50), df)).collect()}
     assert ml.keys() == rel.keys() and all(math.isclose(ml[k], rel[k]) for k in ml)
     for i in range(4):
         assert math.isclose(sum(v * v for (k, _), v in rel.items() if k == i), 1)
@@ -171,6 +173,21 @@ def test_platt_and_search(spark, tmp_path):
     best, trials = models.random_search("x", fit, {"C": [1, 2]}, vec, cfg)
     assert best == {"C": 2} and sorted(t["status"] for t in trials) == ["fail", "fail", "ok", "ok"]
     assert models.random_search("x", fit, {"C": [1, 2]}, vec, cfg)[1] == trials
+    # other rows of as many and the same size have trials of their own
+    other = vec.withColumn("label", 1 - F.col("label"))
+    calls = []
+
+    def counted(d, C):
+        calls.append(C)
+        return models.fit_lr(d, C=C, max_iter=2)
+
+    models.random_search("x", counted, {"C": [1, 2]}, other, cfg)
+    assert len(calls) == 4
+    models.random_search("x", counted, {"C": [1, 2]}, other.repartition(3), cfg)
+    assert len(calls) == 4
+    best, trials = models.tune_holdout("x", counted, {"C": [1, 2]}, vec, other, cfg)
+    assert len(trials) == 2 and best in ({"C": 1}, {"C": 2}) and models.tune_holdout("x", counted, {"C": [1, 2]}, vec, other, cfg)[1] == trials
+    assert len(calls) == 6
 
 
 def test_knn(spark):
@@ -208,11 +225,18 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
     with pytest.raises(ValueError):
         files.write_submission(df.withColumn("label", F.lit(2)), str(tmp_path / "bad"))
-    log = files.TrialLog(tmp_path / "log" / "t.jsonl")
+    log = files.TrialLog(spark, tmp_path, "log")
     log.append({"cand_idx": 0, "fold_idx": np.int64(1), "status": "ok", "score": np.float64(0.5), "params": {"a": (1, 2)}})
-    with log.path.open("a") as f:
-        f.write('{"broken": ')
-    assert len(log.rows()) == 1 and log.frame(spark).first()["score"] == 0.5
+    (tmp_path / "log" / "000001-broken.json").write_text('{"broken": ')
+    assert len(log.rows()) == 1
+    row = log.frame().where("status = 'ok'").first()
+    assert row["score"] == 0.5 and row["params"].replace(" ", "") == '{"a":[1,2]}'
+    found = files.read_split(spark, str(tmp_path / "train.csv"), "train").orderBy("id").collect()
+    assert [r["text"] for r in found] == ['two\nlines, "quoted"', "x"]
+    with pytest.raises(FileNotFoundError):
+        files.read_split(spark, str(tmp_path / "none.csv"), "test")
+    files.write_results(spark.createDataFrame([("a", 0.5)], "model string, val_f1 double"), str(tmp_path / "results"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "results")).first()["model"] == "a"
     assert files.signature({"b": 1, "a": 2}) == files.signature({"a": 2, "b": 1}) and len(files.signature({})) == 10
 
 

@@ -26,7 +26,7 @@ def test_queries_ask_for_the_references_sizes(spark, monkeypatch):
         seen.append(params)
         raise Seen
 
-    monkeypatch.setattr(models, "GBTClassifier", gbt)
+    monkeypatch.setattr(models.boosting, "Params", gbt)
     monkeypatch.setattr(model_queries, "vectors", lambda *a: (None, df, df))
     for name in ("gbt_scores", "top_importances"):
         with pytest.raises(Seen):
@@ -36,12 +36,17 @@ def test_queries_ask_for_the_references_sizes(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_vectors", lambda train, cfg: made.append(cfg) or vectors(train, cfg))
     with pytest.raises(Seen):
         pipelines.baseline(*docs)
-    assert [(p["maxIter"], p["maxDepth"], p["maxBins"], p["stepSize"]) for p in seen] == [(500, 6, 256, 0.1)] * 3
+    assert seen == [{}] * 3
+    monkeypatch.undo()
+    p = models.boosting.Params()
+    assert (p.n_estimators, p.max_depth, p.max_bins, p.learning_rate) == (500, 6, 256, 0.1)
+    monkeypatch.setattr(model_queries, "vectors", lambda *a: (None, df, df))
     assert [(c.columns, c.ngrams, c.max_features, c.min_df) for c in made] == [(X.BASIC, 11, 5000, 1)]
     trials = queries.QUERIES["random_search_trials"](spark, "").collect()
     assert len(trials) == 3 * len(models.NB_SPACE["alpha"])  # fewer than n_iter: the whole grid
+    monkeypatch.setattr(model_queries, "split", lambda *a: [d.limit(12) for d in docs])
     found = {(r["model"], r["score"]): r["value"] for r in queries.QUERIES["model_comparison"](spark, "").collect()}
-    assert len(found) == 4 and not any(math.isnan(v) for v in found.values())
+    assert len(found) == 12 and {k for k, v in found.items() if math.isnan(v)} == {(m, "cv_f1") for m in ("Boosted", "EmbBag", "CharCNN")}
 
 
 def test_char_ngrams_of_the_references_lengths(spark, tmp_path):
