@@ -131,14 +131,20 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows of a batch whose texts are taken out of Arrow together.
+SLICE_ROWS = 1024
+
+
 def text_slices(batches: Iterator, column: int, size: int = 2 << 20) -> Iterator[tuple]:
     """Slices of Arrow batches that hold about size bytes of text, and their texts."""
-    for b in batches:
-        texts, at, held = text_bytes(b.column(column)), 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= size:
-                yield b.slice(at, i + 1 - at), texts[at : i + 1]
-                at, held = i + 1, 0
-        if at < len(texts):
-            yield b.slice(at), texts[at:]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SLICE_ROWS):
+            b = whole.slice(lo, SLICE_ROWS)
+            texts, at, held = text_bytes(b.column(column)), 0, 0
+            for i, t in enumerate(texts):
+                held += len(t)
+                if held >= size:
+                    yield b.slice(at, i + 1 - at), texts[at : i + 1]
+                    at, held = i + 1, 0
+            if at < len(texts):
+                yield b.slice(at), texts[at:]

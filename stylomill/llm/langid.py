@@ -31,16 +31,16 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import FOLD, crc32_of_id, table, text_slices, unused
+from stylomill.llm.common import FOLD, blocks, crc32_of_id, table, text_slices, unused
 from stylomill.session import ship_package
 
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES = 4, 300, 4 << 20
 UND = "und"
 #: Words that a worker keeps costs of, and the longest of them; bits of the number of junctions that it keeps.
 CACHE_WORDS, LONGEST, JUNCTION_BITS = 150_000, 64, 17
-#: Words that are coded together.
+#: Words, and bytes of text, that are coded together.
 TOGETHER = 10_000
-PIECE = 1 << 21
+PIECE = 1 << 19
 LETTER = regex.compile(r"\p{L}")
 LEAD, SPACE = bytes(ORDER - 1) + b" ", 32
 FIRST = ORDER - 1  # bytes of a word, its space among them, that see what is before it
@@ -236,8 +236,6 @@ class Scorer:
         self.place = dict(zip(self.place, range(len(self.place))))
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
-        from stylomill.llm.common import blocks
-
         out = np.zeros((len(texts), len(self.model.langs)))
         todo: list[bytes] = []
         of: list[int] = []
@@ -321,7 +319,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", bits: str | None =
         if id(found) not in _scorers:
             _scorers.clear()
             _scorers[id(found)] = Scorer(found)
-        for b, texts in text_slices(batches, at):
+        for b, texts in text_slices(batches, at, PIECE):
             lang, score, rate = _scorers[id(found)].predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, "lang_pred", "score", "bits"])
 
