@@ -26,11 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from stylomill.llm.common import blocks, table, text_slices
+from stylomill.llm.common import blocks, table, text_slices, trimmed
 from stylomill.session import ship_package
 
 #: Words that the cache holds before it is emptied.
 CACHE_WORDS = 250_000
+#: Bytes of text whose ids and texts go on together.
+ENCODED_BYTES = 1 << 20
 #: Bytes of text that are encoded together.
 PIECE = 1 << 22
 NONE = np.int64(1) << np.int64(40)
@@ -284,7 +286,7 @@ def _with(df: DataFrame, made: dict[str, str], run_on) -> DataFrame:
             for part, arrays in run_on(b):
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
 
-    return base.mapInArrow(run, schema).toDF(*base.columns, *made)
+    return base.mapInArrow(trimmed(run), schema).toDF(*base.columns, *made)
 
 
 def _strings(texts: list[bytes]) -> pa.Array:
@@ -298,7 +300,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | N
 
     def run_on(b: pa.RecordBatch) -> Iterator[tuple]:
         c = codec(spec.value)
-        for part, texts in text_slices([b], at):
+        for part, texts in text_slices([b], at, ENCODED_BYTES):
             flat, n = c.encode_batch(texts)
             ends = np.cumsum(n)
             arrays = [pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.astype(np.int32)))]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import table, unused
+from stylomill.llm.common import table, trimmed, unused
 from stylomill.session import broadcast_if_small, ship_package, stored
 
 #: Fingerprints that one task's filter holds, so that a task's memory doesn't depend on the input.
@@ -152,7 +152,7 @@ def repeated_fingerprints(df: DataFrame, fp: str, ranges: int | None = None) ->
     ship_package(df.sparkSession)
     if ranges is None:  # of a scan, a count reads only Parquet footers
         ranges = int(min(MAX_RANGES, max(8, -(-df.count() // RANGE_ROWS))))
-    filters = df.select(fp).mapInArrow(_build(ranges, 4 * RANGE_ROWS), "part int, filter binary")
+    filters = df.select(fp).mapInArrow(trimmed(_build(ranges, 4 * RANGE_ROWS)), "part int, filter binary")
     return filters.groupBy("part").applyInPandas(_merge, "fp long, n long")
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import mix, table, text_bytes
+from stylomill.llm.common import mix, table, text_bytes, trimmed
 from stylomill.llm.components import components
 from stylomill.llm.shingles import WORDS, shingle_sets, signature
 from stylomill.session import broadcast_if_small, cut, ship_package, stored
@@ -307,7 +307,7 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, size // 20 // TASK_SHINGLES)  # about six bytes a word, a third of all in prefixes
     groups = max(8, ranges // 8)
-    rows = stored(source.mapInArrow(_prefixes(percent, words, ranges, bits), f"id {kind}, hash long, kind int, part int, n long, name binary, a binary, b binary"), "shingles")
+    rows = stored(source.mapInArrow(trimmed(_prefixes(percent, words, ranges, bits)), f"id {kind}, hash long, kind int, part int, n long, name binary, a binary, b binary"), "shingles")
 
     # 1: sets that share enough of their prefixes
     docs = rows.where("kind = 0").select("id", "hash", "n", "name")
@@ -325,7 +325,7 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     # 2: their whole sets, and exact frequencies among them
     wanted = broadcast_if_small(kept.select("ref", "name", F.col("id").alias("wanted"), F.col("hash").alias("wanted_hash")))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & F.col("hash").eqNullSafe(F.col("wanted_hash"))).select("ref", "name", "text")
-    held = stored(texts.mapInArrow(_sets(words), "ref long, n long, shingles array<long>"), "sets")
+    held = stored(texts.mapInArrow(trimmed(_sets(words)), "ref long, n long, shingles array<long>"), "sets")
     each = held.select("ref", "n", F.explode("shingles").alias("h"))
     frequent = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = each.join(frequent, "h").groupBy("ref").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("c", "h"))).alias("shared"))
@@ -351,12 +351,12 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
         return shares.join(of.select(F.col("ref").alias("hub"), F.col(column).alias(name)), "hub").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
     pairs = dealt.join(prefixes.select("ref", "prefix"), "ref").join(with_hubs(prefixes, "prefix", "hub_prefix"), ["hub", "share"])
-    pairs = pairs.select("ref", "hub", "n", "l", "hub_n", "hub_l", "prefix", "hub_prefix").mapInArrow(_matching(percent), "ref long, hub long, n long, hub_n long")
+    pairs = pairs.select("ref", "hub", "n", "l", "hub_n", "hub_l", "prefix", "hub_prefix").mapInArrow(trimmed(_matching(percent)), "ref long, hub long, n long, hub_n long")
     pairs = cut(pairs)
     hashes = lists.select("ref", F.transform("shared", lambda s: s["h"]).alias("hs"))
     whole = pairs.join(hashes.withColumnRenamed("hs", "hx"), "ref").join(shares, "hub").withColumn("share", F.pmod(F.xxhash64(F.lit(3), "ref"), "shares").cast("int"))
     whole = whole.join(with_hubs(hashes, "hs", "hy"), ["hub", "share"]).select("ref", "hub", "n", "hub_n", "hx", "hy")
-    star = cut(whole.mapInArrow(_verified(percent), "x long, y long"))
+    star = cut(whole.mapInArrow(trimmed(_verified(percent)), "x long, y long"))
     labels = components(star)
 
     # 6: what is still apart, in blocks

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylomill.llm.common import FOLD, blocks, crc32_of_id, table, text_slices, unused
+from stylomill.llm.common import FOLD, blocks, crc32_of_id, table, text_slices, trimmed, unused
 from stylomill.session import ship_package
 
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES = 4, 300, 4 << 20
@@ -291,7 +291,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
     sample = rows.where(draw(F.col("h")) <= share).dropDuplicates(["lang", "text"])
     before = Window.partitionBy("lang").orderBy(draw(F.col("h")), "text").rowsBetween(Window.unboundedPreceding, -1)  # about sample_docs rows
     sample = sample.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < sample_bytes)
-    grams = sample.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    grams = sample.select("lang", "text").mapInArrow(trimmed(_count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     keys, n, names = grams["key"].to_numpy(), grams["n"].to_numpy(), np.array(grams["lang"].to_pylist())
     found = {}
     for r in texts:
@@ -323,7 +323,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", bits: str | None =
             lang, score, rate = _scorers[id(found)].predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, "lang_pred", "score", "bits"])
 
-    out = base.mapInArrow(run, schema).toDF(*base.columns, "lang_pred", "score", unused("bits", base.columns))
+        del found
+        _scorers.clear()  # a task's
+
+    out = base.mapInArrow(trimmed(run), schema).toDF(*base.columns, "lang_pred", "score", unused("bits", base.columns))
     return out.toDF(*base.columns, *made) if bits else out.drop(out.columns[-1])
 
 
