@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
-from stylomill.operators import boosting, metrics, tfidf
+from stylomill.operators import boosting, linear, metrics, tfidf
 from stylomill.operators.folds import shuffled_folds, stratified_folds
 from stylomill.sources.files import Folder, TrialLog, signature
 
@@ -88,10 +88,28 @@ def class_weights(df: DataFrame, mode: str | None, label: str = "label") -> Data
     return df.withColumn("w", F.when(F.col(label) == 1, (n0 + n1) / (2 * max(n1, 1))).otherwise((n0 + n1) / (2 * max(n0, 1))))
 
 
-def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000):
-    """Logistic regression with the inverse regularization C."""
+#: Bytes of training rows for a task. A step of a solver is a job, so small tables shouldn't be many tasks.
+TASK_BYTES = 32 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """What Spark takes df's size for: that of files, for stored tables."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its size asks for."""
+    wanted = max(1, -(-size_of(df) // TASK_BYTES))
+    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-6, local_bytes: int = linear.LOCAL_BYTES):
+    """Logistic regression with the inverse regularization C; a small table's in this process."""
     rows = class_weights(df, class_weight)
-    return LogisticRegression(regParam=1 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w").fit(rows)
+    if 0 < size_of(rows) <= local_bytes:
+        return linear.fit(rows, 1 / (C * max(rows.count(), 1)), max_iter, tol)
+    rows = packed(rows)
+    return LogisticRegression(regParam=1 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol, weightCol="w").fit(rows)
 
 
 def fit_nb(df: DataFrame, alpha: float = 1.0):
@@ -105,7 +123,7 @@ def fit_gbt(df: DataFrame, valid: DataFrame | None = None, folder: Folder | None
 
 
 def fit_svc(df: DataFrame, reg: float = 0.01, max_iter: int = 20):
-    return LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(df)
+    return LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(packed(df))
 
 
 def positive(df: DataFrame, out: str, column: str = "probability") -> DataFrame:
@@ -137,7 +155,7 @@ def fit_platt(df: DataFrame, score: str, label: str = "label", smoothed: bool =
     pos, neg = float(n["p"] or 0), float(n["n"] - (n["p"] or 0))
     t = F.when(F.col(label) == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2)) if smoothed else F.col(label).cast("double")
     both = df.select(array_to_vector(F.array(F.col(score).cast("double"))).alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))).alias("r"))
-    rows = both.select("features", F.col("r.y").alias("label"), F.col("r.w").alias("w")).where("w > 0")
+    rows = packed(both.select("features", F.col("r.y").alias("label"), F.col("r.w").alias("w")).where("w > 0"))
     m = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9, weightCol="w").fit(rows)
     return Platt(float(m.coefficients[0]), float(m.intercept))
 

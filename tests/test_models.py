@@ -186,3 +186,13 @@ def test_quantiles(spark):
     for g in ("a", None, "one"):
         v = [r[1] for r in rows if r[2] == g and r[1] is not None]
         assert np.allclose([got[g]["q1"], got[g]["q9"]], np.quantile(v, [0.25, 0.9]))
+
+
+def test_small_logistic_regressions_are_sparks(spark):
+    df, _, _ = sparse_rows(spark)
+    rows = df.withColumn("features", F.col("features"))
+    for how in ({"C": 0.5}, {"C": 2.0, "class_weight": "balanced"}):
+        a, b = models.fit_lr(rows, local_bytes=1 << 62, tol=1e-12, **how), models.fit_lr(rows, local_bytes=0, tol=1e-12, **how)
+        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=1e-4) and abs(a.intercept - b.intercept) < 1e-4
+        got = a.transform(df).select("probability", "prediction").collect()
+        assert len(got) == 240 and all(0 <= r["probability"][1] <= 1 for r in got)
