@@ -9,8 +9,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stylomill.llm import exact_dedup, jaccard_join, langid, line_dedup, media, mixing, registry, secrets, sharding
@@ -340,7 +342,13 @@ def test_pipeline_run(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = corpus_pipeline.run(spark, sf).collect()
     ids = {r["doc_id"] for r in got}
-    assert ids <= set(docs) and all(r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() for r in got)
+    assert ids <= set(docs)
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    library.no_padding(), library.no_truncation()
+    for r in got:
+        want = library.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+        decoded = library.decode(want, skip_special_tokens=False)
+        assert list(r["ids"]) == want and r["n_tokens"] == len(want) and r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
     by_text = defaultdict(set)
     for i in ids:
         by_text[docs[i]].add(i)
