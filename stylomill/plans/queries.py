@@ -289,13 +289,13 @@ def hashed_tf_full(spark, sf_dir):
 @query("lexicon_shares", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{{WORD}}')) AS w FROM documents), l(word, p, s) AS (VALUES {{LEX}}),
 m AS (SELECT doc_id, coalesce(p, 0.0::DOUBLE) AS p FROM t LEFT JOIN l ON w = word),
 a AS (SELECT doc_id, count(*) FILTER (WHERE p < 0) / count(*) AS neg, count(*) FILTER (WHERE p = 0) / count(*) AS neu, count(*) FILTER (WHERE p > 0) / count(*) AS pos, sum(p) AS s FROM m GROUP BY doc_id)
-SELECT d.doc_id, round(coalesce(neg, 0.0), 9) AS sent_neg, round(coalesce(neu, 0.0), 9) AS sent_neu, round(coalesce(pos, 0.0), 9) AS sent_pos, round(coalesce(s / sqrt(s * s + 15), 0.0), 9) AS sent_compound FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id""".format(WORD=_WORD, LEX=", ".join(f"('{w}', {p!r}::DOUBLE, {s!r}::DOUBLE)" for w, p, s in X.SMALL_LEXICON)))
+SELECT d.doc_id, round(coalesce(neg, 0.0), 9) AS sent_neg, round(coalesce(neu, 0.0), 9) AS sent_neu, round(coalesce(pos, 0.0), 9) AS sent_pos, round(coalesce(s / sqrt(s * s + 15), 0.0), 9) + 0.0::DOUBLE AS sent_compound FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id""".format(WORD=_WORD, LEX=", ".join(f"('{w}', {p!r}::DOUBLE, {s!r}::DOUBLE)" for w, p, s in X.SMALL_LEXICON)))
 def lexicon_shares(spark, sf_dir):
     from stylomill.operators.lexicon import shares
 
     lexicon = F.broadcast(spark.createDataFrame(X.SMALL_LEXICON, "word string, polarity double, subjectivity double"))
     df = shares(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), lexicon, id_col="doc_id").withColumnRenamed("id", "doc_id")
-    return rounded(df, "sent_neg", "sent_neu", "sent_pos", "sent_compound")
+    return rounded(df, "sent_neg", "sent_neu", "sent_pos", "sent_compound").withColumn("sent_compound", F.col("sent_compound") + 0.0)  # no -0.0
 
 
 @query("lexical_richness", rf"""WITH v AS (SELECT doc_id, tok, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TOKEN}')) AS tok FROM documents) GROUP BY ALL)
