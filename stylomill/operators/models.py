@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stylomill.functions import text as X
 from stylomill.operators import boosting, linear, metrics, tfidf
 from stylomill.operators.folds import shuffled_folds, stratified_folds
+from stylomill.session import stored
 from stylomill.sources.files import Folder, TrialLog, signature
 
 
@@ -192,7 +193,7 @@ def random_search(name: str, fit, space: dict[str, list], df: DataFrame, cfg: Co
     log = TrialLog(df.sparkSession, cfg.artifacts, f"{name}-{signature({'space': space, 'n': cfg.n_iter, 'k': cfg.kfolds, 'seed': cfg.seed, 'data': identity(df, id_col)})}")
     trials = log.rows()
     done = {(r["cand_idx"], r["fold_idx"]) for r in trials if not (retry_failed and r["status"] != "ok")}
-    rows, began = stratified_folds(df, cfg.kfolds, id_col=id_col).persist(), time.time()
+    rows, began = stored(stratified_folds(df, cfg.kfolds, id_col=id_col), "folds"), time.time()
     best_so_far = max((r["score"] for r in trials if r["status"] == "ok"), default=0.0)
     for i, params in enumerate(found):
         for k in range(cfg.kfolds):
@@ -205,7 +206,6 @@ def random_search(name: str, fit, space: dict[str, list], df: DataFrame, cfg: Co
             row = _trial(fit, rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), params, "score")
             best_so_far = max(best_so_far, row["score"] or 0.0)
             log.append({"cand_idx": i, "fold_idx": k, "elapsed_sec": time.time() - at, "params": params} | row)
-    rows.unpersist()
     trials = log.rows()
     scores = {i: {r["fold_idx"]: r["score"] for r in trials if r["cand_idx"] == i and r["status"] == "ok"} for i in range(len(found))}
     whole = [(sum(s.values()) / len(s), -i) for i, s in scores.items() if len(s) >= cfg.kfolds]
@@ -242,12 +242,11 @@ def feature_names(vectors: PipelineModel, cfg: Config) -> list[str]:
 
 def cross_validate(fit, df: DataFrame, k: int = 5, id_col: str = "id") -> float:
     """Mean macro F1 over k shuffled folds."""
-    rows = shuffled_folds(df, k, id_col).persist()
+    rows = stored(shuffled_folds(df, k, id_col), "folds")  # its size is known, so small tables are fitted in one process
     scores = []
     for i in range(k):
         scored = fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i))
         scores.append(metrics.macro_f1(scored.withColumn("pred", F.col("prediction").cast("int"))).first()[0] or 0.0)
-    rows.unpersist()
     return sum(scores) / k
 
 
