@@ -112,7 +112,7 @@ def test_files_hold_all_documents_in_order(spark):
     want = plain([(r[0], r[1]) for r in sorted(rows)])
     assert got == want
     m = token_store.manifest(spark, path).collect()
-    assert len(m) > 5 and sum(r["docs"] for r in m) == len(rows) and sum(r["ids"] for r in m) == sum(w[3] for w in want)
+    assert len(m) > 2 and sum(r["docs"] for r in m) == len(rows) and sum(r["ids"] for r in m) == sum(w[3] for w in want)
     asked = spark.createDataFrame([(0,), (17,), (17,), (len(rows) - 1,), (len(rows),), (None,), (-1,)], "place long")
     found = sorted(((r["place"], r["start"], r["ids"]) for r in token_store.fetch(asked, path).collect()), key=lambda x: (x[0] is None, x[0] or 0))
     assert found == [(-1, None, None), *((k, want[k][2], want[k][5]) for k in (0, 17, 17, len(rows) - 1)), (len(rows), None, None), (None, None, None)]
