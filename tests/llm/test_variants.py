@@ -52,10 +52,10 @@ def test_words_of_one_hash_get_another_base(monkeypatch):
     assert got == {(a, b) for a, b in all_pairs(words) if min(len(a), len(b)) == 4}
 
 
-@pytest.mark.parametrize("group", [variants.GROUP, 300])
+@pytest.mark.parametrize("group", [variants.GROUP, 1000])
 def test_large_groups_are_split(spark, group, monkeypatch):
     monkeypatch.setattr(variants, "CHUNK", 200)
-    words = made_words(5, 300, hi=6) + ["x" * 300, "x" * 301, "x" * 150 + "y" + "x" * 149, "z" * 40]
+    words = [f"abc{w}" for w in made_words(5, 250, "abé", 4, 5)] + made_words(6, 60, lo=7, hi=8) + ["x" * 300, "x" * 301, "x" * 150 + "y" + "x" * 149, "z" * 40]
     vocab = spark.createDataFrame([(w, len(w)) for w in words], "word string, n long").repartition(3)
     got = [tuple(sorted((r["a"], r["b"]))) for r in variants.near_pairs(vocab, group).collect()]
     assert len(got) == len(set(got)) and set(got) == all_pairs(words)
