@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' tokens: where both end, groups are cut; tokens of a group are linked.
 
 Texts are sequences of pieces that neither tokenizer merges across (see pieces.py), so all piece ends are common cuts, and
-a group lies within a piece. The distinct pieces of a batch of texts are what is aligned, relationally: tokens by
+a group lies within a piece. The distinct pieces of the corpus are what is tokenized and aligned, relationally: tokens by
 posexplode, their ends by windowed sums of lengths, common cuts by an equi-join on piece and end, group numbers by running
-counts of the cuts before, groups by a join on piece and number. All of that is partitioned by batch: one shuffle of packed
-token lists, none of tokens. A document's groups are then its pieces' groups in order.
+counts of the cuts before, groups by a join on piece and number. All of that is partitioned by piece: one shuffle of token
+lists, none of tokens. Batches of texts keep their documents as numbers of pieces and a list of their distinct pieces; a join
+by piece brings the groups back to the batches, and a document's groups are its pieces' groups in order.
 
 How many documents hold a pair of ids linked is counted in two steps, by batch and then overall, and comes back to the
 batches as a row for each distinct pair.
@@ -32,7 +33,7 @@ from stylomill.llm.pieces import Seen
 from stylomill.session import shared_path, ship_package, stored
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Documents and pieces that leave a task together.
 ROWS = 1 << 14
 
@@ -80,21 +81,16 @@ def _pair(a_spec: bytes, b_model: bytes) -> Pair:
 
 
 class Numbered:
-    """Distinct pieces of a batch, numbered as they come, and their ids."""
+    """Distinct pieces of a batch, numbered as they come."""
 
-    def __init__(self, pair: Pair):
-        self.pair, self.seen = pair, Seen(self._number)
-        self.a: list[list[int]] = []
-        self.b: list[list[int]] = []
-        self.bad: list[bool] = []
+    def __init__(self):
+        self.pieces: list[bytes] = []
+        self.seen = Seen(self._number)
 
     def _number(self, pieces: list[bytes]) -> list[list[int]]:
-        at = len(self.a)
-        a, b, whole = self.pair.encode(pieces)
-        self.a += a
-        self.b += b
-        self.bad += [not x for x in whole]
-        return [[at + i] for i in range(len(pieces))]
+        at = len(self.pieces)
+        self.pieces += pieces
+        return [[i] for i in range(at, at + len(pieces))]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -105,42 +101,35 @@ def _unpacked(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, 4 * n, codec="zstd", asbytes=True), "<i4")
 
 
-BATCHES = "batch long, nth long, n int, occ binary, idx int, a array<int>, b array<int>"
+BATCHES = "batch long, nth long, n int, occ binary, idx int, piece string"
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
-
-
-def batches(df: DataFrame, a_spec, b_model, text: str, id_col: str, batch_bytes: int) -> DataFrame:
-    """Rows of two kinds: a document as the numbers of its pieces (nth, id, n, occ), and a distinct piece of a batch with its tokens (idx, a, b)."""
+def batches(df: DataFrame, text: str, id_col: str, batch_bytes: int) -> DataFrame:
+    """Rows of two kinds: a document as the numbers of its pieces (nth, id, n, occ), and a distinct piece of a batch (idx, piece)."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pair, part = _pair(a_spec.value, b_model.value), TaskContext.get().partitionId()
-        names = ["id", "batch", "nth", "n", "occ", "idx", "a", "b"]
+        part = TaskContext.get().partitionId()
+        names = ["id", "batch", "nth", "n", "occ", "idx", "piece"]
 
         def made(ids: list, texts: list[bytes], nth: int) -> Iterator[pa.RecordBatch]:
             batch = part << 32 | nth
-            of = Numbered(pair)
+            of = Numbered()
             flat, n = of.seen.encode_batch([b" " + t if t else b"" for t in texts])
-            bad = np.array(of.bad, bool)
             ends = np.cumsum(n)
-            wrong = np.bincount(np.repeat(np.arange(len(n)), n)[bad[flat]], minlength=len(n)) > 0 if len(flat) else np.zeros(len(n), bool)
             id_column = pa.chunked_array(ids).combine_chunks()
             for lo in range(0, len(n), ROWS):
                 k = range(lo, min(lo + ROWS, len(n)))
-                size = [0 if wrong[i] else int(n[i]) for i in k]
-                occ = [_packed(flat[ends[i] - s : ends[i]]) if s else b"" for i, s in zip(k, size)]
-                m = len(size)
-                yield pa.RecordBatch.from_arrays([id_column.slice(lo, m), pa.array([batch] * m, pa.int64()), pa.array(list(k), pa.int64()), pa.array(size, pa.int32()), pa.array(occ, pa.binary()), pa.nulls(m, pa.int32()), _lists([None] * m), _lists([None] * m)], names)
-            for lo in range(0, len(of.a), ROWS):
-                k = [i for i in range(lo, min(lo + ROWS, len(of.a))) if not of.bad[i]]
                 m = len(k)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, id_column.type), pa.array([batch] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(k, pa.int32()), _lists([of.a[i] for i in k]), _lists([of.b[i] for i in k])], names)
+                occ = [_packed(flat[ends[i] - n[i] : ends[i]]) for i in k]
+                yield pa.RecordBatch.from_arrays([id_column.slice(lo, m), pa.array([batch] * m, pa.int64()), pa.array(list(k), pa.int64()), pa.array(n[lo : lo + m], pa.int32()), pa.array(occ, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string())], names)
+            for lo in range(0, len(of.pieces), ROWS):
+                some = of.pieces[lo : lo + ROWS]
+                m = len(some)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, id_column.type), pa.array([batch] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.arange(lo, lo + m), pa.int32()), pa.array(some, pa.binary()).cast(pa.string())], names)
 
         ids, texts, held, nth = [], [], 0, 0
         for b, some in text_slices(arrow, 1):
@@ -156,29 +145,43 @@ def batches(df: DataFrame, a_spec, b_model, text: str, id_col: str, batch_bytes:
     return rows.mapInArrow(trimmed(run), f"id {kind}, {BATCHES}")
 
 
+def tokenized(pieces: DataFrame, a_spec, b_model) -> DataFrame:
+    """(piece, ids) of distinct pieces: ids of both kinds, for those that both give back."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(a_spec.value, b_model.value)
+        for b, some in text_slices(arrow, 0):
+            a, c, whole = pair.encode(some)
+            ok = np.flatnonzero(whole)
+            ids = [(a[i], c[i]) for i in ok.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(ids, pa.list_(pa.list_(pa.int32())))], ["piece", "ids"])
+
+    return pieces.mapInArrow(trimmed(run), "piece string, ids array<array<int>>")
+
+
 def align(pieces: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
-    """(batch, idx, groups) of pieces (batch, idx, a, b): groups as an array of (g, a, b), the ids of each in order.
+    """(piece, groups) of pieces (p, piece, ids): groups as an array of (g, a, b), the ids of each in order.
 
     The lengths, (id, length), are vocabularies, of a size that doesn't grow with the corpus.
     """
-    piece = ["batch", "idx"]
-    dealt = pieces.repartition("batch")
+    dealt = pieces.repartition("p")
 
-    def tokens(side: str, lengths: DataFrame) -> DataFrame:
-        each = dealt.select(*piece, F.posexplode(side).alias("pos", "id")).join(F.broadcast(lengths), "id")
-        upto = Window.partitionBy(*piece).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return each.select(*piece, "id", F.sum("length").over(upto).alias("end"))
+    def tokens(side: int, lengths: DataFrame) -> DataFrame:
+        each = dealt.select("p", F.posexplode(F.col("ids")[side]).alias("pos", "id")).join(F.broadcast(lengths), "id")
+        upto = Window.partitionBy("p").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        return each.select("p", "id", F.sum("length").over(upto).alias("end"))
 
-    a, b = tokens("a", a_lengths), tokens("b", b_lengths)
+    a, b = tokens(0, a_lengths), tokens(1, b_lengths)
 
     def numbered(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        cut = own.join(other.select(*piece, "end", F.lit(1).alias("cut")), [*piece, "end"], "left")
-        before = Window.partitionBy(*piece).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        g = cut.select(*piece, "end", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("g"))
-        return g.groupBy(*piece, "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda t: t["id"]).alias(name))
+        cut = own.join(other.select("p", "end", F.lit(1).alias("cut")), ["p", "end"], "left")
+        before = Window.partitionBy("p").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+        g = cut.select("p", "end", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("g"))
+        return g.groupBy("p", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda t: t["id"]).alias(name))
 
-    both = numbered(a, b, "a").join(numbered(b, a, "b"), [*piece, "g"])
-    return both.groupBy(*piece).agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    both = numbered(a, b, "a").join(numbered(b, a, "b"), ["p", "g"])
+    groups = both.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    return dealt.select("p", "piece", "ids").drop("ids").join(groups, "p").select("piece", "groups")
 
 
 # --- from pieces to documents
@@ -190,6 +193,8 @@ class Aligned:
     def __init__(self, rows: pa.Table):
         idx = rows.column("idx").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
         n = int(idx.max()) + 1 if len(idx) else 0
+        self.known = np.zeros(n, bool)
+        self.known[idx] = True
         groups = rows.column("groups").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.struct([("g", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))
         groups = pa.concat_arrays(groups.chunks) if isinstance(groups, pa.ChunkedArray) else groups
         per = np.diff(groups.offsets.to_numpy())
@@ -239,6 +244,8 @@ def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     text = of.text
     for nth, n, occ in zip(docs.column("nth").to_pylist(), docs.column("n").to_pylist(), docs.column("occ").to_pylist()):
         at = _unpacked(occ, n) if n else np.zeros(0, np.int32)
+        if n and (at.max() >= len(of.known) or not of.known[at].all()):  # a piece that isn't given back
+            n, at = 0, at[:0]
         out["nth"].append(nth)
         for name, x in (("n_a", of.n_a), ("n_b", of.n_b), ("n_groups", of.n_groups), ("n_links", of.n_links)):
             out[name].append(int(x[at].sum()) if n else 0)
@@ -296,18 +303,26 @@ class Alignment:
         self.spark, self.id_col = df.sparkSession, id_col
         ship_package(self.spark)
         a_spec, b_model = token_store.vocabulary(self.spark, a_path), token_store.vocabulary(self.spark, b_path, "piece_bpe_32k.model")
-        path = shared_path(self.spark, "aligned-batches")
-        batches(df, a_spec, b_model, text, id_col, batch_bytes).write.option("compression", "zstd").parquet(path)
-        # a session of its own: there, rows that a batch holds together stay together through joins on batch, piece and end
-        own = self.spark.newSession()
-        own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        own.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # a session of its own: there, rows of a piece stay together through joins on piece and end, and shuffles go with their job
+        own = self.own = self.spark.newSession()
+        for k, v in {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions")}.items():
+            own.conf.set(k, v)
+
+        def kept(found: DataFrame, name: str) -> str:
+            path = shared_path(self.spark, name)
+            found.write.option("compression", "zstd").parquet(path)
+            return path
+
+        rows = kept(batches(df, text, id_col, batch_bytes), "aligned-batches")
+        held = lambda: own.read.parquet(rows).where("idx IS NOT NULL").select("batch", "idx", "piece")
+        distinct = tokenized(held().select("piece").distinct(), a_spec, b_model)
+        tokens = kept(distinct.withColumn("p", F.monotonically_increasing_id()), "aligned-tokens")
         lengths = [own.createDataFrame(x, "id int, length int") for x in Pair(a_spec.value, b_model.value).lengths()]
-        aligned = align(own.read.parquet(path).where("idx IS NOT NULL").select("batch", "idx", "a", "b"), *lengths)
-        docs = own.read.parquet(path).where("idx IS NULL").select("batch", "nth", "n", "occ")
-        self.rows = self.spark.read.parquet(path).where("idx IS NULL").select("batch", "nth", "id")
-        made = docs.groupBy("batch").cogroup(aligned.groupBy("batch")).applyInArrow(_composed, COMPOSED)
+        pieces = kept(align(own.read.parquet(tokens), *lengths), "aligned-pieces")
+        back = kept(held().join(own.read.parquet(pieces), "piece").select("batch", "idx", "groups"), "aligned-back")
+        docs = own.read.parquet(rows).where("idx IS NULL").select("batch", "nth", "n", "occ")
+        self.rows = self.spark.read.parquet(rows).where("idx IS NULL").select("batch", "nth", "id")
+        made = docs.groupBy("batch").cogroup(own.read.parquet(back).groupBy("batch")).applyInArrow(_composed, COMPOSED)
         self.path = shared_path(self.spark, "aligned")
         made.write.option("compression", "zstd").parquet(self.path)
         self.pairs = stored(pair_counts(self.composed()), "pairs")
