@@ -133,10 +133,12 @@ class Scanner:
                         span = m[0][s:e]
                         if all(n.search(span) for n in needs):
                             found.add((m.start() + s, 3, m.start() + e))
-        out: list[tuple[int, int, int]] = []
-        for x in sorted(found, key=lambda x: (x[0] - x[2], x[0])):  # the longest first
-            if not any(s <= x[0] and x[2] <= e for s, _, e in (*base, *out)):
-                out.append(x)
+        # a span that starts no later and reaches as far covers it; of equal ones those of known patterns come first
+        out, reach = [], -1
+        for s, end, kind in sorted((s, -e, k) for s, k, e in (*base, *found)):
+            if kind == 3 and -end > reach:
+                out.append((s, kind, -end))
+            reach = max(reach, -end)
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
