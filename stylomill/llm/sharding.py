@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stylomill.llm.common import table, unused
-from stylomill.session import shared_path
+from stylomill.session import broadcast_if_small, shared_path, stored
 
 SMALL_BYTES, TARGET_BYTES, FAN = 8 << 20, 64 << 20, 4
 
@@ -128,7 +128,8 @@ class ShardStore:
         n = max(1, math.ceil(size / shard_bytes))
         name = f"run-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
-        shard = F.pmod(F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t)), F.lit(n)).cast("int")
+        # the row's place is part of the hash, so that rows that are equal go to all shards, too
+        shard = F.pmod(F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t), F.monotonically_increasing_id()), F.lit(n)).cast("int")
         df.withColumn(self.shard, shard).repartitionById(n, self.shard).write.option("compression", "zstd").partitionBy(self.shard).parquet(path)
         return Run(name, level, self._found(path))
 
@@ -248,4 +249,4 @@ def op9_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.vacuum(min_age=0, keep=1)
     rows = store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.input_file_name().alias("path"))
     shards = store.manifest().select("path", "version", "level", "tier", "shard", "shard_rows", "shard_bytes")
-    return rows.join(F.broadcast(shards), "path", "left").drop("path")  # one row for each shard
+    return rows.join(broadcast_if_small(stored(shards, "shard-list")), "path").drop("path")  # a row for each shard; inner, so that a path spelt in two ways would be seen as rows that lack
