@@ -302,7 +302,9 @@ def part_scores(tree: Tree, one: np.ndarray, two: np.ndarray, slot: np.ndarray,
     # rows of weights of the last token, and of the one before; the pair's rows are the groups
     start1 = _starts(key >> np.uint64(20))
     row1 = np.repeat(np.arange(len(start1)), np.diff(np.r_[start1, size]))
-    # sorted with the group's number, as sorting numbers is faster than sorting their places; a part has fewer than 2^24 groups
+    # sorted with the group's number, as sorting numbers is faster than sorting their places
+    if size >= 1 << 24:
+        raise ValueError("a part has more groups than its keys can number")
     key = np.sort(((key & low) << np.uint64(19) | cls.astype(np.uint64)) << np.uint64(24) | np.arange(size, dtype=np.uint64))
     order2 = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
     start2 = _starts(key >> np.uint64(24))
@@ -563,7 +565,9 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", id_col: str = "do
         every = rows.select("uid", F.lit(TO_SCORE).alias("kind"), F.xxhash64("id").alias("row"), "text").unionByName(train.select(uid, F.lit(TO_LEARN).alias("kind"), row, whole))
     else:
         every = df.select(uid, F.when(learn, TO_SCORE + TO_LEARN).otherwise(TO_SCORE).alias("kind"), row, whole)
-    parts = max(1, math.ceil(n / EVENTS))
+    # parts by the events of both, so that a small train doesn't give a part all rows to score
+    tokens = df.agg(F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + F.lit(1).cast("long"))).first()[0] or 0
+    parts = max(1, math.ceil(max(n, tokens) / EVENTS))
     together = min(TOGETHER, max(1, parts // GROUPS))
     events = every.mapInArrow(_dealt(model, parts, together), "group long, low long, n long, data binary")
     sums = events.groupBy("group").applyInPandas(_learned(model), "low long, n long, rows binary, sums binary")
