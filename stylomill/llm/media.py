@@ -7,8 +7,8 @@ digest, length and, unless another place has them, its bytes. A chunk that sever
 one of the smallest digest, one that a payload repeats at its first place. A payload that several ids have is stored once
 (rows that repeat the id, too, or have none, store it again). Rows are written as Parquet to the shared folder. Reading
 joins references with the chunks they name, puts each payload together in order and verifies its length and SHA-256;
-what doesn't match raises an error. media_bytes and media_sha256 are those of the recipe, recipe_bytes(): digest and
-length of each chunk in order, without the chunks' bytes, as that is a payload's own form whatever others share with it.
+what doesn't match raises an error. media_bytes and media_sha256 are those of the recipe as it is stored, a binary column:
+digest and length of each chunk in order, without the chunks' bytes, a payload's own form whatever others share with it.
 
 Only digests are shuffled to find shared chunks; of the chunks' bytes, those that are referred to travel.
 
@@ -86,23 +86,24 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["id", "sha", "chunks"])
 
 
-STORED = "sha binary, n_bytes long, n_foreign int, n_lent int, chunks array<struct<sha:binary,len:int,lent:boolean,own:binary>>"
+STORED = "sha binary, n_bytes long, recipe binary, n_foreign int, n_lent int, chunks array<struct<sha:binary,len:int,lent:boolean,own:binary>>"
 _CHUNK = pa.struct([("sha", pa.binary()), ("len", pa.int32()), ("lent", pa.bool_()), ("own", pa.binary())])
 
 
 def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, foreign, lent) to stored rows: a chunk has its bytes unless it is stored elsewhere or earlier in the list."""
     for b, texts in text_slices(batches, 0):
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for text, foreign, lent in zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist()):
             foreign, lent, seen, out = set(foreign or ()), set(lent or ()), set(), []
             for c in chunks(pad(text)):
                 d = hashlib.sha256(c).digest()
                 out.append({"sha": d, "len": len(c), "lent": d in lent and d not in seen, "own": None if d in foreign or d in seen else c})
                 seen.add(d)
-            for col, x in zip(rows, (hashlib.sha256(text).digest(), len(text), len(foreign), len(lent), out)):
+            recipe = recipe_bytes([(c["sha"], c["len"]) for c in out])
+            for col, x in zip(rows, (hashlib.sha256(text).digest(), len(text), recipe, len(foreign), len(lent), out)):
                 col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(_CHUNK)))], ["sha", "n_bytes", "n_foreign", "n_lent", "chunks"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(_CHUNK)))], ["sha", "n_bytes", "recipe", "n_foreign", "n_lent", "chunks"])
 
 
 def assemble(sha: bytes, n_bytes: int, parts: list[dict], fetched: dict[bytes, bytes]) -> bytes:
@@ -140,12 +141,14 @@ def _sized(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stored rows and what was fetched for them to payloads."""
     for b in _sized(batches):
-        rows: list[list] = [[], [], [], []]
-        for sha, n, parts, fetched in zip(*(b.column(i).to_pylist() for i in range(4))):
+        rows: list[list] = [[], [], [], [], []]
+        for sha, n, recipe, parts, fetched in zip(*(b.column(i).to_pylist() for i in range(5))):
             payload = assemble(sha, n, parts, {x["chunk"]: x["own"] for x in fetched or ()})
-            for col, x in zip(rows, (sha, n, payload, [{"sha": p["sha"], "len": p["len"]} for p in parts])):
+            if recipe != recipe_bytes([(p["sha"], p["len"]) for p in parts]):
+                raise ValueError(f"recipe of {sha.hex()} is damaged")
+            for col, x in zip(rows, (sha, n, payload, recipe, len(parts))):
                 col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.struct([("sha", pa.binary()), ("len", pa.int32())]))))], ["sha", "n_bytes", "payload", "recipe"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32()))], ["sha", "n_bytes", "payload", "recipe", "n_chunks"])
 
 
 def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -172,22 +175,21 @@ def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> tuple[Da
 
 
 def load(media: DataFrame) -> DataFrame:
-    """(sha, n_bytes, payload, recipe): the stored payloads, put together again and verified."""
+    """(sha, n_bytes, payload, recipe, n_chunks): the stored payloads, put together again and verified, and their recipes as stored."""
     lent = media.where("n_lent > 0").select(F.explode("chunks").alias("c")).where("c.lent").select(F.col("c.sha").alias("chunk"), F.col("c.own").alias("own"))
     borrowing = media.where("n_foreign > 0")
     refs = borrowing.select("sha", F.explode("chunks").alias("c")).where("c.own IS NULL").select("sha", F.col("c.sha").alias("chunk"))
     fetched = refs.dropDuplicates().join(lent.dropDuplicates(["chunk"]), "chunk").groupBy("sha").agg(F.collect_list(F.struct("chunk", "own")).alias("fetched"))
     whole = media.where("n_foreign = 0").withColumn("fetched", F.lit(None).cast("array<struct<chunk:binary,own:binary>>"))
     rows = whole.unionByName(borrowing.join(fetched, "sha", "left"))
-    return rows.select("sha", "n_bytes", "chunks", "fetched").mapInArrow(_rebuilt, "sha binary, n_bytes long, payload binary, recipe array<struct<sha:binary,len:int>>")
+    return rows.select("sha", "n_bytes", "recipe", "chunks", "fetched").mapInArrow(_rebuilt, "sha binary, n_bytes long, payload binary, recipe binary, n_chunks int")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _sized(batches):
         rows = []
-        for sha, n, payload, recipe in zip(*(b.column(i).to_pylist() for i in range(4))):
-            form = recipe_bytes([(p["sha"], p["len"]) for p in recipe])
-            rows.append((sha, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload, len(recipe))))
+        for sha, n, payload, form, n_chunks in zip(*(b.column(i).to_pylist() for i in range(5))):
+            rows.append((sha, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload, n_chunks)))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 8, _FEATURE_TYPES)], _FEATURE_NAMES)
 
 

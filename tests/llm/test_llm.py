@@ -360,7 +360,7 @@ def test_media(spark, rows):
         text = (r[1] or "").encode()
         got = back[hashlib.sha256(text).digest()]
         assert bytes(got["payload"]) == media.pad(text) and got["n_bytes"] == len(text) and len(got["payload"]) % 64 == 0
-        assert [p["sha"] for p in got["recipe"]] == [hashlib.sha256(c).digest() for c in media.chunks(media.pad(text))]
+        assert got["recipe"] == media.recipe_bytes([(hashlib.sha256(c).digest(), len(c)) for c in media.chunks(media.pad(text))])
     own = stored.select(F.explode("chunks").alias("c")).where("c.own IS NOT NULL").groupBy("c.sha").count().where("count > 1").count()
     assert own == 0 or len({r[0] for r in rows}) < len(rows)  # only rows that repeat id and text are stored twice
 
