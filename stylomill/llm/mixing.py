@@ -4,10 +4,14 @@ A source's target is a share of all words by its weight, stopped at `most` times
 others by weight until none is above. Each document of a source is due the same fractional number of copies, target
 over words. The whole part is fixed; the fractions are rounded by pivotal steps: two documents meet, and mass (words
 times probability) moves from one to the other until one of the probabilities is 0 or 1. Which of the two gets it is
-drawn so that no document's expected copies change; their words stay constant at each step. Groups of about `FAN`
-documents fold so to one undecided document each; these meet in the next level's groups, up to one for each source,
-which is rounded to the nearest. So a source's taken words differ from its target by at most half of one document's
-words, however many documents there are, and no task holds more than a group.
+drawn so that no document's expected copies change; their words stay constant at each step. A step mostly decides the
+shorter document, so documents meet those of their own length first: of a source's documents of 2^k to 2^(k+1) words, groups
+of about `FAN` fold to one undecided document each, and these meet in the next level's groups, up to one. One group of each
+length is kept out and folds at last with what the others have left, from long to short. That is done in phases, `PHASES`,
+from documents of 4,096 words or more down to single words. The last undecided one of a phase takes a pivotal step with all
+shorter documents of its source as one unit: they have one probability still, which moves a little, and it is decided. If they
+lack the words for that, it goes on to the next phase. So what is rounded to the nearest in the end is a document of a few
+words, or the last of a source without short ones. No task holds more than a group, or `FAN` documents of each length.
 
 All draws are hashes of ids and a seed: reruns agree, also after a task is lost.
 
@@ -25,6 +29,8 @@ from stylomill.llm.common import table, unused
 from stylomill.session import cut
 
 WEIGHTS, MOST, FAN, SEED = (5, 2, 1), 3, 64, 17
+#: The least length, as a power of 2, of each phase's documents.
+PHASES = (12, 8, 4, 0)
 
 
 def n_words(text: Column) -> Column:
@@ -82,26 +88,65 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     whole = (F.col("x") == 0) | (F.col("size") == 0)
     alone = (F.col("x") > 0) & (_draw(F.lit(seed), F.lit(-1), F.col("u")) < F.col("x"))
     decided = [due.where(whole).select("source", "id", "size", "m", (F.col("base") + alone.cast("long")).alias("copies"))]
-    groups = F.ceil(F.col("n_units") / FAN)
-    open_ = due.where(~whole).select("source", groups.alias("groups"), F.struct("u", "id", "size", "m", "base", "x").alias("unit"))
-    largest = targets.agg(F.max("n_units")).first()[0] or 0
-    level = 0
-    while True:
-        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("unit.u")), F.col("groups"))
-        # from long to short: what a long document lacks or has too much is settled with shorter ones, so a short one is left
-        units = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("unit.size"), "unit"))), lambda x: x["unit"])
-        folded = open_.groupBy("source", "groups", bucket.alias("bucket")).agg(units.alias("units"))
+    mass = F.col("size") * F.col("m")
+    length = F.floor(F.log2(mass.cast("double"))).cast("int")
+    phase = F.coalesce(*(F.when(length >= least, i) for i, least in enumerate(PHASES)))
+    open_ = due.where(~whole).select("source", phase.alias("phase"), length.alias("length"), mass.alias("mass"), F.struct("u", "id", "size", "m", "base", "x").alias("unit"))
+    per = cut(open_.groupBy(F.col("source").alias("source2"), F.col("phase").alias("phase2"), F.col("length").alias("length2")).agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("words")))  # at most 64 rows a source
+    most_of = {r["phase2"]: r["n"] for r in per.groupBy("phase2").agg(F.max("n").alias("n")).collect()}
+    shares = cut(due.where(~whole).groupBy("source").agg(F.max("x").alias("x")))  # all of a source's documents have one
+    open_ = open_.join(per, F.col("source").eqNullSafe(F.col("source2")) & (F.col("length") == F.col("length2"))).select("source", "phase", "length", F.ceil(F.col("n") / FAN).alias("groups"), "unit")
+
+    def bucket(level: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("unit.u")), F.col("groups"))
+
+    def folded(rows: DataFrame, keys: list, level: int) -> DataFrame:
+        """Groups of rows, folded from long to short: r.cur is undecided, r.done are decided."""
+        units = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("unit.size") * F.col("unit.m"), "unit"))), lambda x: x["unit"])
+        groups = rows.groupBy(*keys).agg(units.alias("units"))
         first, rest = F.col("units")[0], F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0)))
         zero = F.struct(first.alias("cur"), F.slice("units", 1, 0).alias("done"))
-        folded = cut(folded.select("source", "groups", F.aggregate(rest, zero, _pivot(level, seed)).alias("r")))
-        done = folded.select("source", F.explode("r.done").alias("d"))
-        decided.append(done.select("source", "d.id", "d.size", "d.m", (F.col("d.base") + F.round("d.x").cast("long")).alias("copies")))
-        open_ = folded.select("source", F.ceil(F.col("groups") / FAN).alias("groups"), F.col("r.cur").alias("unit"))
-        largest = -(-largest // FAN)
-        level += 1
-        if largest <= 1:
-            break
-    decided.append(open_.select("source", "unit.id", "unit.size", "unit.m", (F.col("unit.base") + F.round("unit.x").cast("long")).alias("copies")))
+        return cut(groups.select(*(k for k in groups.columns if k not in ("units", "bucket")), F.aggregate(rest, zero, _pivot(level, seed)).alias("r")))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.select("source", "d.id", "d.size", "d.m", (F.col("d.base") + F.round("d.x").cast("long")).alias("copies"))
+
+    def by_source(rows: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
+        return rows.join(other.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2")), how).drop("source2")
+
+    left = None  # of each source, what the phase before has left undecided
+    for i in sorted(most_of):
+        now = by_source(open_.where(F.col("phase") == i), shares.withColumnRenamed("x", "share")).withColumn("unit", F.col("unit").withField("x", F.col("share"))).drop("share")
+        last, more, largest, level = now.where(bucket(0) == 0).select("source", "unit"), now.where(bucket(0) != 0), most_of[i], 0
+        while largest > FAN:  # at last one is left of each source and length
+            found = folded(more, ["source", "length", "groups", bucket(level).alias("bucket")], level + 100 * i)
+            decided.append(settled(found.select("source", F.explode("r.done").alias("d"))))
+            more = found.select("source", "length", F.ceil(F.col("groups") / FAN).alias("groups"), F.col("r.cur").alias("unit"))
+            largest = -(-largest // FAN)
+            level += 1
+        last = last.unionByName(more.select("source", "unit")) if level else last
+        found = folded(last if left is None else last.unionByName(left), ["source"], -2 - i)
+        decided.append(settled(found.select("source", F.explode("r.done").alias("d"))))
+        # the last one and all shorter documents of its source
+        pool = per.where(F.col("phase2") > i).groupBy(F.col("source2").alias("source")).agg(F.sum("words").cast("double").alias("pool"))
+        met = by_source(by_source(shares, found.select("source", F.col("r.cur").alias("cur"))), pool).na.fill(0.0, ["pool"])
+        words, x, p = (F.col("cur.size") * F.col("cur.m")).cast("double"), F.col("cur.x"), F.col("x")
+        gets, gives = F.least((1 - x) * words, p * F.col("pool")), F.least(x * words, (1 - p) * F.col("pool"))
+        up = _draw(F.lit(seed), F.lit(-20 - i), F.col("cur.u")) * (gets + gives) < gives
+        open_end = F.col("cur").isNotNull() & (F.col("pool") > 0) & (x > 0) & (x < 1)
+        met = met.withColumns({"gets": gets, "gives": gives, "up": up})
+        moved = F.when(F.col("up"), F.when(F.col("gets") >= (1 - x) * words, 1.0).otherwise(x + F.col("gets") / words)).otherwise(F.when(F.col("gives") >= x * words, 0.0).otherwise(x - F.col("gives") / words))
+        share = F.when(F.col("up"), p - F.col("gets") / F.col("pool")).otherwise(p + F.col("gives") / F.col("pool"))
+        met = cut(met.select("source", F.when(open_end, F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).otherwise(p).alias("x"), F.when(open_end, F.col("cur").withField("x", moved)).otherwise(F.col("cur")).alias("unit")))
+        shares = met.select("source", "x")
+        ended = met.where("unit IS NOT NULL")
+        whole_now = (F.col("unit.x") == 0) | (F.col("unit.x") == 1)
+        decided.append(settled(ended.where(whole_now).select("source", F.col("unit").alias("d"))))
+        left = ended.where(~whole_now).select("source", "unit")
+        # sources without documents of the later phases end here
+        after = per.where(F.col("phase2") > i).select(F.col("source2").alias("source")).distinct()
+        decided.append(settled(left.join(after, left["source"].eqNullSafe(after["source"]), "left_anti").select("source", F.col("unit").alias("d"))))
+        left = left.join(after, left["source"].eqNullSafe(after["source"]), "left_semi")
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stylomill.llm import exact_dedup, jaccard_join, langid, line_dedup, media, mixing, registry, secrets, sharding
+from stylomill.session import shared_path
 from tests.llm.test_llm import frame, near_classes
 
 
@@ -155,9 +157,49 @@ def test_mix_misses_by_less_than_a_short_document(spark):
     assert all(abs(taken[s] - target[s]) <= 30 for s in target), (taken, target)
 
 
+@pytest.mark.parametrize("seed", range(17, 22))
+def test_mix_misses_little_whatever_the_seed(spark, seed):
+    if seed == 17:  # one table serves all
+        rng = random.Random(3)
+        rows = [(i, "w " * (rng.randint(1, 30) if i % 10 else 100), "en", f"s{i % 4}") for i in range(800)]
+        frame(spark, rows).coalesce(1).createOrReplaceTempView("mixed")
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(spark.table("mixed"), seed=seed).collect():
+        taken[r["source"]] += r["copies"] * r["size"] * r["m"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target), (taken, target)
+
+
+def test_mix_of_long_documents_and_many_groups(spark):
+    """A source of long documents only, to half a document; one of 6,000 of which some are very long, to a short one."""
+    rng = random.Random(5)
+    rows = [(i, "w " * 5000, "en", "long") for i in range(40)] + [(100 + i, "w " * (rng.randint(1, 40) if i % 50 else 3000), "en", "mixed") for i in range(6000)]
+    taken, target, units = Counter(), {}, 0
+    for r in mixing.mix_sources(frame(spark, rows)).collect():
+        taken[r["source"]] += r["copies"] * r["size"] * r["m"]
+        target[r["source"]] = r["target"]
+        units += r["m"]
+    assert units == len(rows) and abs(taken["long"] - target["long"]) <= 2500 and abs(taken["mixed"] - target["mixed"]) <= 20, (taken, target)
+
+
 # secrets
 
 
+def test_secrets_of_a_long_list():
+    """100,000 spans in one text: each is compared with its neighbours only."""
+    rng = random.Random(9)
+    text = "\n".join(f"{rng.getrandbits(128):032x}" for _ in range(100_000))
+    scanner = secrets.Scanner()
+    runs = [m.span() for m in scanner.any.finditer(text)]
+    base = scanner.base(text, runs)
+    at = time.process_time()
+    found = scanner.entropy(text, runs[:1000], base)
+    assert time.process_time() - at < 5 and found == [] and len(base) >= 99_000
+    # spans that others cover go, those that reach further stay
+    got = secrets.Scanner(allow=()).spans("x = '8f3a9c0d1e7b46a2958fQZ8f3a9c0d1e7b46a2958f'")
+    assert all(not (a != b and b[0] <= a[0] and a[2] <= b[2]) for a in got for b in got if a[1] == 3)
+
+
 def test_secrets_recall_by_class():
     rng = random.Random(7)
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
@@ -355,3 +397,13 @@ def test_pipeline_run(spark):
     assert all(len(v) == 1 for v in by_text.values())
     classes = {r[0]: r[2] for r in near_classes([(i, docs[i]) for i in sorted(ids)])}
     assert all(k == v for k, v in classes.items())
+
+
+def test_equal_rows_fill_all_shards(spark):
+    """40,000 equal rows are dealt to the run's 21 shards, as any rows are."""
+    df = spark.createDataFrame([(1, "the same text")], "doc_id long, text string").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(40_000))).alias("k")).drop("k")
+    size = 40_000 * len("the same text")
+    store = sharding.ShardStore(spark, shared_path(spark, "hot"), df.schema, small=-(-size // 21), target=1 << 30)
+    store.append(df)
+    rows = [s.rows for r in store.runs() for s in r.shards]
+    assert len(rows) >= 15 and sum(rows) == 40_000 and max(rows) < 3 * 40_000 / 21 and store.read().count() == 40_000
