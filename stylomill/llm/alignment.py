@@ -33,7 +33,7 @@ from stylomill.llm.pieces import Seen
 from stylomill.session import shared_path, ship_package, stored
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Documents and pieces that leave a task together.
 ROWS = 1 << 14
 
@@ -80,6 +80,12 @@ def _pair(a_spec: bytes, b_model: bytes) -> Pair:
     return _pairs[key]
 
 
+def _forget() -> None:
+    """Workers live on; the vocabularies aren't needed once pieces are encoded."""
+    _pairs.clear()
+    token_store.forget()
+
+
 class Numbered:
     """Distinct pieces of a batch, numbered as they come."""
 
@@ -237,6 +243,7 @@ COMPOSED = "batch long, nth long, n_a long, n_b long, n_groups long, n_links lon
 
 def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Documents with their totals and distinct pairs, and the batch's distinct pairs with the documents that hold them."""
+    _forget()
     of = Aligned(pieces)
     batch = key[0].as_py()
     held = np.zeros(len(of.pairs), np.int64)
@@ -274,6 +281,7 @@ def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
 
 def _scored(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Documents with sums over their links of what their batch's pairs count overall."""
+    _forget()
     n = pairs.num_rows
     count, best = np.zeros(n, np.int64), np.zeros(n, bool)
     link = pairs.column("link").to_numpy() if n else np.zeros(0, np.int64)

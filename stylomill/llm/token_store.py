@@ -206,6 +206,11 @@ def encoder(spec: str, special: bool = True) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Let go what encoder() keeps."""
+    _encoders.clear()
+
+
 def vocabulary(spark: SparkSession, path: str | None = None, name: str = "byte_bpe_50k.json"):
     """A vocabulary file's content for all workers."""
     if path is None:
