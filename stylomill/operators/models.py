@@ -7,18 +7,16 @@ import random
 import time
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
-from stylomill.operators import boosting, linear, metrics, tfidf
+from stylomill.operators import boosting, linear, metrics, ngrams, tfidf
 from stylomill.operators.folds import shuffled_folds, stratified_folds
-from stylomill.session import stored
+from stylomill.session import spread, stored
 from stylomill.sources.files import Folder, TrialLog, signature
 
 
@@ -55,27 +53,26 @@ NB_SPACE = {"alpha": [0.01, 0.05, 0.1, 0.5, 1.0]}
 
 
 def text_features(df: DataFrame, cfg: Config) -> DataFrame:
-    """df with the numeric features and grams, the terms of 1 to cfg.ngrams words."""
-    tk = tfidf.model_tokens(F.col("text"))
-    return X.with_features(df).withColumn("__tk", tk).withColumn("grams", X.word_ngrams(F.col("__tk"), 1, cfg.ngrams)).drop("__tk")
+    """df with the numeric features and tokens, the words that terms are made of; without text."""
+    return X.with_features(df).withColumn("tokens", tfidf.model_tokens(F.col("text"))).drop("text")
 
 
-def fit_vectors(train: DataFrame, cfg: Config) -> PipelineModel:
-    """The vector stages, fitted on train only. The vocabulary is made relationally, so ties break by term and not by chance."""
-    rows = tfidf.idf(tfidf.vocabulary(tfidf.gram_counts(train, F.col("grams")), cfg.max_features, cfg.min_df), train).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()  # max_features rows
-    terms = [r["term"] for r in rows] or [""]
-    idf = Vectors.dense([r["idf"] for r in rows] or [1.0])
-    stages = [
-        CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="tf"),
-        ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="tfidf"),
-        Normalizer(p=2.0, inputCol="tfidf", outputCol="tfidf_l2"),
-        VectorAssembler(inputCols=[*cfg.columns, "tfidf_l2"], outputCol="features"),
-    ]
-    return PipelineModel(stages)
+def prepared(df: DataFrame, cfg: Config) -> DataFrame:
+    """text_features() stored, as the vocabulary and the vectors both read it. The rows are stored before that: then their size is known, and how many tasks they are worth."""
+    return stored(text_features(spread(stored(df, "rows")), cfg), "features")
 
 
-def hashed_vectors(df: DataFrame, dim: int = 1 << 19, binary: bool = False) -> DataFrame:
-    return HashingTF(numFeatures=dim, binary=binary, inputCol="grams", outputCol="features").transform(df)
+def fit_vectors(train: DataFrame, cfg: Config) -> ngrams.TextVectors:
+    """The vectors of terms of 1 to cfg.ngrams words, fitted on train only; train has been prepared."""
+    vocab = ngrams.mine(train, cfg.ngrams, cfg.max_features, cfg.min_df)
+    rows = tfidf.idf(vocab, train).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()  # max_features rows
+    return ngrams.TextVectors([r["term"] for r in rows], [r["idf"] for r in rows], cfg.columns)
+
+
+def hashed_vectors(df: DataFrame, dim: int = 1 << 19, binary: bool = False, words: tuple[int, int] = (1, 2)) -> DataFrame:
+    """df with features, the hashed terms of its tokens."""
+    rows = df.withColumn("grams", X.word_ngrams(F.col("tokens"), *words))
+    return HashingTF(numFeatures=dim, binary=binary, inputCol="grams", outputCol="features").transform(rows).drop("grams", "tokens")
 
 
 def class_weights(df: DataFrame, mode: str | None, label: str = "label") -> DataFrame:
@@ -104,13 +101,9 @@ def packed(df: DataFrame) -> DataFrame:
     return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
 
 
-def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-6, local_bytes: int = linear.LOCAL_BYTES):
-    """Logistic regression with the inverse regularization C; a small table's in this process."""
-    rows = class_weights(df, class_weight)
-    if 0 < size_of(rows) <= local_bytes:
-        return linear.fit(rows, 1 / (C * max(rows.count(), 1)), max_iter, tol)
-    rows = packed(rows)
-    return LogisticRegression(regParam=1 / (C * max(rows.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol, weightCol="w").fit(rows)
+def fit_lr(df: DataFrame, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, tol: float = 1e-6):
+    """Logistic regression with the inverse regularization C."""
+    return linear.fit(class_weights(df, class_weight), C, max_iter, tol)
 
 
 def fit_nb(df: DataFrame, alpha: float = 1.0):
@@ -123,8 +116,9 @@ def fit_gbt(df: DataFrame, valid: DataFrame | None = None, folder: Folder | None
     return boosting.fit(df, boosting.Params(**params), valid=valid, folder=folder)
 
 
-def fit_svc(df: DataFrame, reg: float = 0.01, max_iter: int = 20):
-    return LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(packed(df))
+def fit_svc(df: DataFrame, reg: float = 0.01, max_iter: int = 1000, tol: float = 1e-6):
+    """A linear classifier of squared hinge loss."""
+    return linear.fit_hinge(df, reg, max_iter, tol)
 
 
 def positive(df: DataFrame, out: str, column: str = "probability") -> DataFrame:
@@ -236,8 +230,8 @@ def importances(model, names: list[str], top: int = 25) -> list[tuple[str, float
     return [(names[i], float(c)) for i, c in ranked]
 
 
-def feature_names(vectors: PipelineModel, cfg: Config) -> list[str]:
-    return [*cfg.columns, *vectors.stages[0].vocabulary]
+def feature_names(vectors: ngrams.TextVectors, cfg: Config) -> list[str]:
+    return vectors.names()
 
 
 def cross_validate(fit, df: DataFrame, k: int = 5, id_col: str = "id") -> float:

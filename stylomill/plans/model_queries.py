@@ -19,7 +19,7 @@ def split(spark, sf_dir):
 
 
 def vectors(spark, sf_dir, cfg=Config()):
-    train, valid, _ = (models.text_features(d, cfg) for d in split(spark, sf_dir))
+    train, valid = (models.prepared(d, cfg) for d in split(spark, sf_dir)[:2])
     found = models.fit_vectors(train, cfg)
     return found, *(stored(found.transform(d).select("id", "label", "features"), "vectors") for d in (train, valid))
 
@@ -40,7 +40,7 @@ query("svc_scores")(_scores(models.fit_svc, raw=True))
 
 @query("hashed_linear_scores")
 def hashed_linear_scores(spark, sf_dir):
-    train, valid = (models.hashed_vectors(models.text_features(d, Config(ngrams=2)), binary=True).select("id", "label", "features") for d in split(spark, sf_dir)[:2])
+    train, valid = (models.hashed_vectors(models.prepared(d, Config()), binary=True).select("id", "label", "features") for d in split(spark, sf_dir)[:2])
     train, valid = stored(train, "hashed"), stored(valid, "hashed")
     return models.predict(models.fit_lr(train), valid, "p").select(F.col("id").alias("doc_id"), "label", "p")
 
@@ -119,7 +119,7 @@ def charcnn_scores(spark, sf_dir):
 @query("best_refit")
 def best_refit(spark, sf_dir):
     """The best of two models by validation, fitted anew on train and validation rows, on the documents without a label."""
-    train, valid, test = (models.text_features(d, Config()) for d in split(spark, sf_dir))
+    train, valid, test = (models.prepared(d, Config()) for d in split(spark, sf_dir))
     found = models.fit_vectors(train, Config())
     train, valid, test = (stored(found.transform(d).select(*(c for c in ("id", "label", "features") if c in d.columns or c == "features")), "vectors") for d in (train, valid, test))
     fitters = {"nb": models.fit_nb, "svc": models.fit_svc}
@@ -133,7 +133,7 @@ def model_comparison(spark, sf_dir):
     _, train, valid = vectors(spark, sf_dir)
     linear = {"LogReg": models.fit_lr, "LinSVM": models.fit_svc, "KNN(Proj)": knn.fit_knn, "Boosted": lambda d: models.fit_gbt(d, n_estimators=200, max_depth=7, learning_rate=0.12, subsample=0.9, colsample_bytree=0.9)}
     found = models.compare(linear, train, valid, cv=("LogReg", "LinSVM", "KNN(Proj)"))
-    texts = [models.text_features(d, Config(ngrams=2)) for d in split(spark, sf_dir)[:2]]
+    texts = [models.prepared(d, Config()) for d in split(spark, sf_dir)[:2]]
     hashed = [stored(models.hashed_vectors(d, binary=True).select("id", "label", "features"), "hashed") for d in texts]
     found = found.unionByName(models.compare({"EmbBag": models.fit_lr}, *hashed, cv=()))
     found = found.unionByName(models.compare({"CharCNN": charcnn.fit}, *split(spark, sf_dir)[:2], cv=()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
 from stylomill.operators import folds, knn, metrics, tfidf
+from stylomill.session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,12 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where its files make fewer tasks, as a row costs far more here than sending it does; df as it is where they make enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 

@@ -102,3 +102,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
     n = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(n)) <= BROADCAST_BYTES else df
+
+
+#: Rows of about so many bytes of files are worth a task of their own where a row takes much work.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, task_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """df dealt to more tasks where its scan makes fewer than there are cores, and it has the bytes for more; df as it is where it makes enough."""
+    sc = df.sparkSession.sparkContext
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(str(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    wanted = min(sc.defaultParallelism, max(1, size // task_bytes))
+    return df.repartition(wanted) if size // most < wanted - 1 else df

@@ -136,11 +136,11 @@ def test_tfidf_matches_the_ml_path(spark):
     texts = ["red green blue green", "red red yellow fox", "blue fox jumps high", "nothing shared here"]
     df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, label int")
     cfg = models.Config(columns=("word_count",), ngrams=2, max_features=50, min_df=1)
-    rows = models.text_features(df, cfg)
+    rows = models.prepared(df, cfg)
     vectors = models.fit_vectors(rows, cfg)
-    terms = vectors.stages[0].vocabulary
-    ml = {(r["id"], terms[int(i)]): v for r in vectors.transform(rows).collect() for i, v in zip(r["tfidf_l2"].indices, r["tfidf_l2"].values)}
-    tf = tfidf.term_counts(rows, F.col("grams"))
+    names = vectors.names()
+    ml = {(r["id"], names[int(i)]): v for r in vectors.transform(rows).collect() for i, v in zip(r["features"].indices, r["features"].values) if i}
+    tf = tfidf.term_counts(rows, X.word_ngrams(F.col("tokens"), 1, 2))
     rel = {(r["id"], r["term"]): r["weight"] for r in tfidf.weighted(tf, tfidf.idf(tfidf.vocabulary(tfidf.document_frequency(tf), 50), df)).collect()}
     assert ml.keys() == rel.keys() and all(math.isclose(ml[k], rel[k]) for k in ml)
     for i in range(4):

@@ -188,11 +188,69 @@ def test_quantiles(spark):
         assert np.allclose([got[g]["q1"], got[g]["q9"]], np.quantile(v, [0.25, 0.9]))
 
 
-def test_small_logistic_regressions_are_sparks(spark):
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_logistic_regressions_are_sparks(spark, parts):
+    from pyspark.ml.classification import LogisticRegression
+
     df, _, _ = sparse_rows(spark)
-    rows = df.withColumn("features", F.col("features"))
+    rows = df.unionByName(spark.createDataFrame([(900, None, None)], df.schema)).repartition(parts)
     for how in ({"C": 0.5}, {"C": 2.0, "class_weight": "balanced"}):
-        a, b = models.fit_lr(rows, local_bytes=1 << 62, tol=1e-12, **how), models.fit_lr(rows, local_bytes=0, tol=1e-12, **how)
-        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=1e-4) and abs(a.intercept - b.intercept) < 1e-4
+        a = models.fit_lr(rows, tol=1e-12, **how)
+        weighted = models.class_weights(df, how.get("class_weight"))
+        b = LogisticRegression(regParam=1 / (how["C"] * 240), standardization=False, maxIter=1000, tol=1e-12, weightCol="w").fit(weighted)
+        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=1e-3) and abs(a.intercept - b.intercept) < 1e-3
         got = a.transform(df).select("probability", "prediction").collect()
         assert len(got) == 240 and all(0 <= r["probability"][1] <= 1 for r in got)
+
+
+def test_hinge_and_cases(spark):
+    df, x, y = sparse_rows(spark)
+    m = models.fit_svc(df, reg=0.1, tol=1e-12)
+    c, sign = np.r_[m.coefficients.toArray(), m.intercept], 2 * y - 1
+    short = np.maximum(0, 1 - sign * (x @ c[:-1] + c[-1]))
+    slope = np.r_[(-2 * (sign * short)[:, None] * x).mean(axis=0) + 0.1 * c[:-1], (-2 * sign * short).mean()]
+    assert np.abs(slope).max() < 1e-3  # at the optimum
+    assert (m.transform(df).where("prediction = label").count()) > 180
+    empty = models.fit_lr(df.where("false"))
+    assert empty.coefficients.toArray().tolist() == [0.0] and empty.intercept == 0
+    one = models.fit_lr(df.where("label = 1"))
+    assert np.isfinite(one.intercept) and one.transform(df).where("prediction = 1").count() == 240
+
+
+def test_mined_terms_are_all_terms_counted(spark):
+    """Against counting every term of every length: ties, repeats, nulls, a vocabulary smaller than the terms, filters too small to tell terms apart."""
+    from stylomill.operators import ngrams
+
+    rng = np.random.default_rng(5)
+    docs = [" ".join(rng.choice(list("abcdef"), rng.integers(0, 30))).split() for _ in range(60)]
+    docs += [docs[3]] * 4 + ["x y z w v u t s r q p o n".split()] * 3 + [None, []]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id long, tokens array<string>").repartition(3)
+    counts = {}
+    for t in docs:
+        grams = [" ".join(t[i : i + n]) for n in range(1, 12) for i in range(len(t) - n + 1)] if t else []
+        for g in grams:
+            counts.setdefault(g, [0, 0])[1] += 1
+        for g in set(grams):
+            counts[g][0] += 1
+    for size, min_df, slice_tokens, bits in ((10_000, 2, 1 << 20, 1 << 24), (40, 1, 37, 1 << 24), (300, 3, 100, 64)):
+        got = [tuple(r) for r in ngrams.mine(df, 11, size, min_df, bits=bits, slice_tokens=slice_tokens).select("term", "df", "cf").collect()]
+        want = sorted(((g, *n) for g, n in counts.items() if n[0] >= min_df), key=lambda x: (-x[2], x[0]))[:size]
+        assert sorted(got, key=lambda x: (-x[2], x[0])) == want, size
+    assert ngrams.mine(df.where("false"), 11, 10).count() == 0
+    vectors = ngrams.TextVectors([g for g, *_ in want], [1.0 + i % 3 for i in range(len(want))], ("id",))
+    again = ngrams.TextVectors.loads(vectors.dumps())
+    for r in again.transform(df).collect():
+        t = docs[r["id"]] or []
+        tf = {}
+        for n in range(1, 12):
+            for i in range(len(t) - n + 1):
+                g = " ".join(t[i : i + n])
+                if g in set(vectors.terms):
+                    tf[g] = tf.get(g, 0) + vectors.idf[vectors.terms.index(g)]
+        norm = math.sqrt(sum(v * v for v in tf.values()))
+        place = {g: i + 1 for i, g in enumerate(vectors.terms)}
+        want_v = {place[g]: v / norm for g, v in tf.items()} | ({0: float(r["id"])} if r["id"] else {})
+        got_v = dict(zip(r["features"].indices.tolist(), r["features"].values.tolist()))
+        assert got_v.keys() == want_v.keys() and all(math.isclose(got_v[k], want_v[k]) for k in got_v)
+    nothing = ngrams.TextVectors([], [], ("id",)).transform(df).first()
+    assert nothing["features"].size == 2
