@@ -147,6 +147,30 @@ def test_neighbours_cases(spark):
     assert knn.nearest(df.where("false"), df.where("vec_id = 1"), 2).count() == 0 == knn.nearest(df, df.where("false"), 2).count()
 
 
+@pytest.mark.parametrize("pivots, block", [(256, 4096), (12, 20), (5, 7)])
+def test_neighbours_are_exact_whatever_the_groups(spark, pivots, block):
+    """Clusters that prune, copies that tie, rows of length 0, a hot group; against all pairs."""
+    rng = np.random.default_rng(pivots)
+    centres = rng.normal(size=(6, 5)) * 4
+    v = np.concatenate([centres[rng.integers(0, 6, 150)] + rng.normal(size=(150, 5)) * 0.2, np.repeat(centres[:1], 60, axis=0), np.zeros((3, 5)), rng.normal(size=(20, 5))])
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    report = {}
+    got = {}
+    for r in knn.nearest(df, df.where("vec_id % 3 = 0"), 5, pivots=pivots, block=block, report=report).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["neighbour"], r["similarity"], r["label"])
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    assert sorted(got) == list(range(0, len(v), 3))
+    for i, found in got.items():
+        s = u @ u[i]
+        s[i] = -np.inf
+        want = np.sort(s)[::-1][:5]
+        assert np.allclose([found[r][1] for r in range(1, 6)], want, atol=1e-9) and len({found[r][0] for r in range(1, 6)}) == 5
+        assert all(abs(s[j] - x) < 1e-9 and l == j % 3 for j, x, l in found.values())
+        if i % 3 == 0 and 150 <= i < 210:  # exact copies: ties by id
+            assert [found[r][0] for r in range(1, 6)] == [j for j in range(150, 210) if j != i][:5]
+    assert 0 <= report["pruned"] <= 1 and (pivots != 12 or report["pruned"] > 0.3)
+
+
 def test_model_store(spark, tmp_path):
     from pyspark.ml.classification import LogisticRegressionModel
 
