@@ -30,7 +30,7 @@ from stylomill.llm import token_store
 from stylomill.llm.bpe import ragged
 from stylomill.llm.common import table, text_slices, trim, trimmed
 from stylomill.llm.pieces import Seen
-from stylomill.session import shared_path, ship_package, stored
+from stylomill.session import forget, shared_path, ship_package, stored
 
 #: Bytes of text in a batch.
 BATCH_BYTES = 4 << 20
@@ -270,8 +270,9 @@ def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     both = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(p, kind)])
     own = lambda x, kind: pa.concat_arrays([pa.nulls(d, kind), pa.array(x, kind)])
     long = pa.int64()
+    ids = docs.column("id").combine_chunks()
     found = pa.table({
-        "batch": pa.array([batch] * (d + p), long), "nth": both(out["nth"], long), "n_a": both(out["n_a"], long), "n_b": both(out["n_b"], long), "n_groups": both(out["n_groups"], long),
+        "id": pa.concat_arrays([ids, pa.nulls(p, ids.type)]) if d else pa.nulls(p, ids.type), "batch": pa.array([batch] * (d + p), long), "nth": both(out["nth"], long), "n_a": both(out["n_a"], long), "n_b": both(out["n_b"], long), "n_groups": both(out["n_groups"], long),
         "n_links": both(out["n_links"], long), "groups_sha256": both(out["sha"], pa.string()), "m": both(out["m"], pa.int32()), "links": both(out["links"], pa.binary()), "times": both(out["times"], pa.binary()),
         "link": own(np.arange(p), pa.int32()), "a_id": own(of.pairs >> 32, pa.int32()), "b_id": own(of.pairs & 0xFFFFFFFF, pa.int32()), "docs": own(held, long),
     })
@@ -293,7 +294,7 @@ def _scored(docs: pa.Table, pairs: pa.Table) -> pa.Table:
         t = _unpacked(times, m).astype(np.int64) if m else at
         n_best.append(int(t[best[at]].sum()))
         count_sum.append(int((t * count[at]).sum()))
-    out = docs.select(["batch", "nth", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]).append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
+    out = docs.select(["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]).append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
     trim()
     return out
 
@@ -305,7 +306,7 @@ def pair_counts(composed: DataFrame) -> DataFrame:
 
 
 class Alignment:
-    """Tables of an alignment: documents and pairs, each worked out when it is first asked for."""
+    """An alignment's tables: pairs with their counts, and documents(). What led there is removed once it has been used."""
 
     def __init__(self, df: DataFrame, text: str = "text", id_col: str = "doc_id", a_path: str | None = None, b_path: str | None = None, batch_bytes: int = BATCH_BYTES):
         self.spark, self.id_col = df.sparkSession, id_col
@@ -328,11 +329,13 @@ class Alignment:
         lengths = [own.createDataFrame(x, "id int, length int") for x in Pair(a_spec.value, b_model.value).lengths()]
         pieces = kept(align(own.read.parquet(tokens), *lengths), "aligned-pieces")
         back = kept(held().join(own.read.parquet(pieces), "piece").select("batch", "idx", "groups"), "aligned-back")
-        docs = own.read.parquet(rows).where("idx IS NULL").select("batch", "nth", "n", "occ")
-        self.rows = self.spark.read.parquet(rows).where("idx IS NULL").select("batch", "nth", "id")
-        made = docs.groupBy("batch").cogroup(own.read.parquet(back).groupBy("batch")).applyInArrow(_composed, COMPOSED)
+        forget(self.spark, tokens, pieces)
+        docs = own.read.parquet(rows).where("idx IS NULL").select("id", "batch", "nth", "n", "occ")
+        self.kind = df.schema[id_col].dataType.simpleString()
+        made = docs.groupBy("batch").cogroup(own.read.parquet(back).groupBy("batch")).applyInArrow(_composed, f"id {self.kind}, {COMPOSED}")
         self.path = shared_path(self.spark, "aligned")
         made.write.option("compression", "zstd").parquet(self.path)
+        forget(self.spark, rows, back)
         self.pairs = stored(pair_counts(self.composed()), "pairs")
 
     def composed(self) -> DataFrame:
@@ -340,11 +343,10 @@ class Alignment:
 
     def documents(self) -> DataFrame:
         back = self.composed().where("link IS NOT NULL").select("batch", "link", "a_id", "b_id").join(self.pairs, ["a_id", "b_id"]).select("batch", "link", "count", "best")
-        docs = self.composed().where("link IS NULL").select("batch", "nth", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "m", "links", "times")
-        out = "batch long, nth long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
+        docs = self.composed().where("link IS NULL").select("id", "batch", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "m", "links", "times")
+        out = f"id {self.kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
         scored = docs.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_scored, out)
-        found = scored.join(self.rows, ["batch", "nth"])
-        return found.select(F.col("id").alias(self.id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+        return scored.select(F.col("id").alias(self.id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
