@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
+from stylomill.session import stored
 
 MODEL_WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -84,7 +85,7 @@ HOT_SHARE = 1e-4
 
 def zipf(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """(id, zipf_mean, zipf_std): mean and deviation over tokens of log10(1e9 x share of the corpus); of documents that have tokens."""
-    tf = term_counts(df, X.tokens(F.lower(X.whole(F.col(text)))), id_col)
+    tf = stored(term_counts(df, X.tokens(F.lower(X.whole(F.col(text)))), id_col), "terms")  # read for counts, for the total and for the rows
     cf = document_frequency(tf).select("term", "cf")
     total = F.broadcast(cf.agg(F.sum("cf").alias("total")))
     z = cf.join(total).select("term", F.log10(1e9 * F.col("cf") / F.col("total")).alias("z"), (F.col("cf") >= F.col("total") * HOT_SHARE).alias("hot"))

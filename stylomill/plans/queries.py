@@ -297,7 +297,7 @@ def lexicon_shares(spark, sf_dir):
 SELECT doc_id, sum(c)::BIGINT AS n_tokens, round(count(*) / sum(c), 9) AS ttr, round(count(*) FILTER (WHERE c = 1) / count(*), 9) AS hapax_ratio, round(count(*) FILTER (WHERE c = 2) / count(*), 9) AS dis_ratio,
 round(1e4 * (sum(c * c) - sum(c)) / (sum(c)::DOUBLE * sum(c) + 1e-12), 6) AS yule_k FROM v GROUP BY doc_id""")
 def lexical_richness(spark, sf_dir):
-    df = tfidf.lexical_richness(table(spark, sf_dir, "documents"), id_col="doc_id").withColumnRenamed("id", "doc_id")
+    df = tfidf.lexical_richness(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), id_col="doc_id").withColumnRenamed("id", "doc_id")
     return rounded(rounded(df, "ttr", "hapax_ratio", "dis_ratio"), "yule_k", digits=6)
 
 
@@ -305,7 +305,7 @@ def lexical_richness(spark, sf_dir):
 z AS (SELECT tok, log10(1e9 * sum(c) / (SELECT sum(c) FROM v)) AS z FROM v GROUP BY tok)
 SELECT doc_id, round(sum(c * z) / sum(c), 6) AS zipf_mean, round(sqrt(greatest(sum(c * z * z) / sum(c) - (sum(c * z) / sum(c)) * (sum(c * z) / sum(c)), 0)), 6) AS zipf_std FROM v JOIN z ON v.tok = z.tok GROUP BY doc_id""")
 def zipf_corpus(spark, sf_dir):
-    return rounded(tfidf.zipf(table(spark, sf_dir, "documents"), id_col="doc_id").withColumnRenamed("id", "doc_id"), "zipf_mean", "zipf_std", digits=6)
+    return rounded(tfidf.zipf(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), id_col="doc_id").withColumnRenamed("id", "doc_id"), "zipf_mean", "zipf_std", digits=6)
 
 
 @query("common_word_anti", rf"""SELECT doc_id, count(*) AS n_uncommon FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORD}')) AS w FROM documents) WHERE w NOT IN ({_COMMON}) GROUP BY doc_id""")
