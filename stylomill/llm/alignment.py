@@ -5,7 +5,9 @@ a group lies within a piece. The distinct pieces of the corpus are what is token
 posexplode, their ends by windowed sums of lengths, common cuts by an equi-join on piece and end, group numbers by running
 counts of the cuts before, groups by a join on piece and number. All of that is partitioned by piece: one shuffle of token
 lists, none of tokens. Batches of texts keep their documents as numbers of pieces and a list of their distinct pieces; a join
-by piece brings the groups back to the batches, and a document's groups are its pieces' groups in order.
+by the pieces' 128-bit names brings the groups back to the batches, and a document's groups are its pieces' groups in order.
+(Among 10^11 distinct pieces, two have one name by a chance below 10^-16.) What goes back to a batch is packed before it is
+shuffled: rows of a batch that lie in one partition travel as one.
 
 How many documents hold a pair of ids linked is counted in two steps, by batch and then overall, and comes back to the
 batches as a row for each distinct pair.
@@ -23,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylomill.llm import token_store
 from stylomill.llm.bpe import ragged
 from stylomill.llm.common import table, text_slices, trim, trimmed
 from stylomill.llm.pieces import Seen
-from stylomill.session import forget, shared_path, ship_package, stored
+from stylomill.session import forget, shared_path, ship_package
 
 #: Bytes of text in a batch.
 BATCH_BYTES = 4 << 20
@@ -165,8 +167,13 @@ def tokenized(pieces: DataFrame, a_spec, b_model) -> DataFrame:
     return pieces.mapInArrow(trimmed(run), "piece string, ids array<array<int>>")
 
 
+def named(piece: Column) -> list[Column]:
+    """A piece's name of 128 bits, which is shuffled and sorted in place of the piece."""
+    return [F.xxhash64(piece).alias("h1"), F.xxhash64(F.lit("second"), piece).alias("h2")]
+
+
 def align(pieces: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
-    """(piece, groups) of pieces (p, piece, ids): groups as an array of (g, a, b), the ids of each in order.
+    """(h1, h2, groups) of pieces (p, piece, ids): groups as a1,a2|b1;a3|b2,b3, the ids of each in order.
 
     The lengths, (id, length), are vocabularies, of a size that doesn't grow with the corpus.
     """
@@ -187,38 +194,70 @@ def align(pieces: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> Data
 
     both = numbered(a, b, "a").join(numbered(b, a, "b"), ["p", "g"])
     groups = both.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
-    return dealt.select("p", "piece", "ids").drop("ids").join(groups, "p").select("piece", "groups")
+    written = F.array_join(F.transform("groups", lambda t: F.concat(F.array_join(t["a"], ","), F.lit("|"), F.array_join(t["b"], ","))), ";")
+    return dealt.select("p", "piece", "ids").join(groups, "p").select(*named(F.col("piece")), written.alias("groups"))
 
 
 # --- from pieces to documents
 
 
+CELL = "batch long, n int, at binary, size int, data binary"
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Rows (batch, number, value) as few rows a batch and partition: numbers, and values as long integers or lines of text, compressed."""
+    text = rows.dtypes[2][1] == "string"
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            if not b.num_rows:
+                continue
+            batch, number = b.column(0).to_numpy(), b.column(1).to_numpy()
+            value = b.column(2).cast(pa.binary()).to_pylist() if text else b.column(2).to_numpy().astype("<i8")
+            cuts = np.r_[0, np.flatnonzero(np.diff(batch)) + 1, len(batch)].tolist()
+            data = [b"\n".join(value[lo:hi]) if text else value[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])]
+            at = [_packed(np.diff(number[lo:hi], prepend=0)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+            size = [len(x) for x in data]
+            data = [pa.compress(x, codec="zstd", asbytes=True) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array(batch[cuts[:-1]]), pa.array(np.diff(cuts), pa.int32()), pa.array(at, pa.binary()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], ["batch", "n", "at", "size", "data"])
+
+    return rows.sortWithinPartitions(*rows.columns[:2]).mapInArrow(trimmed(run), CELL)
+
+
+def opened(packed: pa.Table) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Numbers and data of each cell."""
+    for n, at, size, data in zip(*(packed.column(c).to_pylist() for c in ("n", "at", "size", "data"))):
+        yield np.cumsum(_unpacked(at, n), dtype=np.int64), pa.decompress(data, size, codec="zstd", asbytes=True)
+
+
+#: Between ids of a group's side, between the sides, and between groups.
+COMMA, BAR, SEMICOLON = b",|;"
+SPACES = bytes.maketrans(b",|;", b"   ")
+
+
 class Aligned:
-    """A batch's aligned pieces as flat arrays."""
+    """A batch's aligned pieces as flat arrays: of their numbers there, and of their groups as written."""
 
-    def __init__(self, rows: pa.Table):
-        idx = rows.column("idx").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+    def __init__(self, idx: np.ndarray, groups: list[bytes]):
         n = int(idx.max()) + 1 if len(idx) else 0
         self.known = np.zeros(n, bool)
         self.known[idx] = True
-        groups = rows.column("groups").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.struct([("g", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))
-        groups = pa.concat_arrays(groups.chunks) if isinstance(groups, pa.ChunkedArray) else groups
-        per = np.diff(groups.offsets.to_numpy())
-        flat = groups.flatten()
-        sides = [flat.field("a"), flat.field("b")]
-        sizes = [np.diff(x.offsets.to_numpy()) for x in sides]
-        ids = [x.flatten().to_numpy().astype(np.int64) for x in sides]
+        self.text: list[bytes] = [b""] * n
+        for i, x in zip(idx.tolist(), groups):
+            self.text[i] = x
+        # one mark follows each id; an id is of the first kind if as many bars as semicolons lie before it
+        flat = b"".join(x + b";" for x in groups)
+        value = np.fromstring(flat.translate(SPACES), np.int64, sep=" ") if flat else np.zeros(0, np.int64)
+        marks = np.frombuffer(flat, np.uint8)
+        marks = marks[(marks == COMMA) | (marks == BAR) | (marks == SEMICOLON)]
+        bars, group = (np.cumsum(marks == m) - (marks == m) for m in (BAR, SEMICOLON))
+        first = bars == group
+        per = np.array([x.count(b";") + 1 for x in groups], np.int64)
         piece_of_group = np.repeat(idx, per)
+        sizes = [np.bincount(group[side], minlength=len(piece_of_group)) for side in (first, ~first)]
+        ids = [value[side] for side in (first, ~first)]
         total = lambda x: np.bincount(piece_of_group, weights=x, minlength=n).astype(np.int64)
         self.n_a, self.n_b, self.n_groups, self.n_links = total(sizes[0]), total(sizes[1]), total(np.ones(len(piece_of_group))), total(sizes[0] * sizes[1])
-        names = [x.astype("S") for x in ids]
-        ends = [np.cumsum(x) for x in sizes]
-        a, b = (x.tolist() for x in names)
-        text = [b",".join(a[p - k : p]) + b"|" + b",".join(b[q - m : q]) for p, k, q, m in zip(ends[0].tolist(), sizes[0].tolist(), ends[1].tolist(), sizes[1].tolist())]
-        self.text: list[bytes] = [b""] * n
-        at = np.r_[0, np.cumsum(per)].tolist()
-        for i, lo, hi in zip(idx.tolist(), at[:-1], at[1:]):
-            self.text[i] = b";".join(text[lo:hi])
         # links of a group: each of its distinct ids of one kind with each of the other, as often as both occur
         seen = [np.unique(np.repeat(np.arange(len(x)), x) << 32 | y, return_counts=True) for x, y in zip(sizes, ids)]
         (ka, ca), (kb, cb) = seen
@@ -241,10 +280,18 @@ class Aligned:
 COMPOSED = "batch long, nth long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, m int, links binary, times binary, link int, a_id int, b_id int, docs long"
 
 
+def _aligned(pieces: pa.Table) -> Aligned:
+    idx, groups = [np.zeros(0, np.int64)], []
+    for at, data in opened(pieces):
+        idx.append(at)
+        groups += data.split(b"\n")
+    return Aligned(np.concatenate(idx), groups)
+
+
 def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Documents with their totals and distinct pairs, and the batch's distinct pairs with the documents that hold them."""
     _forget()
-    of = Aligned(pieces)
+    of = _aligned(pieces)
     batch = key[0].as_py()
     held = np.zeros(len(of.pairs), np.int64)
     out: dict[str, list] = {k: [] for k in ("nth", "n_a", "n_b", "n_groups", "n_links", "sha", "m", "links", "times")}
@@ -283,11 +330,11 @@ def _composed(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
 def _scored(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Documents with sums over their links of what their batch's pairs count overall."""
     _forget()
-    n = pairs.num_rows
+    found = [(at, np.frombuffer(data, "<i8")) for at, data in opened(pairs)]
+    n = max((int(at[-1]) + 1 for at, _ in found), default=0)
     count, best = np.zeros(n, np.int64), np.zeros(n, bool)
-    link = pairs.column("link").to_numpy() if n else np.zeros(0, np.int64)
-    count[link] = pairs.column("count").to_numpy() if n else 0
-    best[link] = pairs.column("best").to_numpy(zero_copy_only=False) if n else False
+    for at, signed in found:
+        count[at], best[at] = abs(signed), signed < 0
     n_best, count_sum = [], []
     for m, links, times in zip(docs.column("m").to_pylist(), docs.column("links").to_pylist(), docs.column("times").to_pylist()):
         at = np.cumsum(_unpacked(links, m)) if m else np.zeros(0, np.int64)
@@ -328,21 +375,25 @@ class Alignment:
         tokens = kept(distinct.withColumn("p", F.monotonically_increasing_id()), "aligned-tokens")
         lengths = [own.createDataFrame(x, "id int, length int") for x in Pair(a_spec.value, b_model.value).lengths()]
         pieces = kept(align(own.read.parquet(tokens), *lengths), "aligned-pieces")
-        back = kept(held().join(own.read.parquet(pieces), "piece").select("batch", "idx", "groups"), "aligned-back")
-        forget(self.spark, tokens, pieces)
+        forget(self.spark, tokens)
+        groups = held().select("batch", "idx", *named(F.col("piece"))).join(own.read.parquet(pieces), ["h1", "h2"])
+        back = kept(cells(groups.select("batch", "idx", "groups")), "aligned-back")
+        forget(self.spark, pieces)
         docs = own.read.parquet(rows).where("idx IS NULL").select("id", "batch", "nth", "n", "occ")
         self.kind = df.schema[id_col].dataType.simpleString()
         made = docs.groupBy("batch").cogroup(own.read.parquet(back).groupBy("batch")).applyInArrow(_composed, f"id {self.kind}, {COMPOSED}")
         self.path = shared_path(self.spark, "aligned")
         made.write.option("compression", "zstd").parquet(self.path)
         forget(self.spark, rows, back)
-        self.pairs = stored(pair_counts(self.composed()), "pairs")
+        self.pairs = self.spark.read.parquet(kept(pair_counts(own.read.parquet(self.path)), "pairs"))
 
     def composed(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
     def documents(self) -> DataFrame:
-        back = self.composed().where("link IS NOT NULL").select("batch", "link", "a_id", "b_id").join(self.pairs, ["a_id", "b_id"]).select("batch", "link", "count", "best")
+        back = self.composed().where("link IS NOT NULL").select("batch", "link", "a_id", "b_id").join(self.pairs, ["a_id", "b_id"])
+        signed = F.when(F.col("best"), -F.col("count")).otherwise(F.col("count"))  # negative: none of the A id's counts is higher
+        back = cells(back.select("batch", "link", signed.alias("signed")))
         docs = self.composed().where("link IS NULL").select("id", "batch", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "m", "links", "times")
         out = f"id {self.kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
         scored = docs.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_scored, out)

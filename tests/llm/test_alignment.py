@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stylomill.llm import alignment
@@ -90,16 +91,24 @@ def test_documents_and_pairs(spark):
 
 def test_a_group_of_many_tokens():
     """Tokens that never end together but at the end: all links are counted, but only distinct ids are joined."""
-    import pyarrow as pa
-
     a, b = [5, 6] * 3000, [7] * 5000
-    kind = pa.list_(pa.struct([("g", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
-    rows = pa.table({"batch": pa.array([1, 1]), "idx": pa.array([2, 0], pa.int32()), "groups": pa.array([[{"g": 0, "a": a, "b": b}], [{"g": 0, "a": [5], "b": [7]}, {"g": 1, "a": [9], "b": [7, 8]}]], kind)})
-    of = alignment.Aligned(rows)
+    of = alignment.Aligned(np.array([2, 0]), [(",".join(map(str, a)) + "|" + ",".join(map(str, b))).encode(), b"5|7;9|7,8"])
     assert of.n_links.tolist() == [3, 0, 30_000_000] and of.n_groups.tolist() == [2, 0, 1] and len(of.pairs) == 4
     assert of.text[0] == b"5|7;9|7,8" and of.times[of.pair_at[2] :][: of.pair_n[2]].tolist() == [15_000_000] * 2
 
 
+def test_cells_of_batches(spark):
+    """Rows of a batch and a partition travel as one, whatever their values."""
+    rows = [(b, i, "é|" * (i % 5)) for b in (7, 1 << 40) for i in range(0, 4000, 3)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "batch long, idx int, value string").repartition(4)
+    for some, read in ((df, lambda x: x.decode().split("\n")), (df.select("batch", "idx", (F.col("idx") - 5000).cast("long")), lambda x: np.frombuffer(x, "<i8").tolist())):
+        found = alignment.cells(some)
+        assert found.count() <= 2 * 4 and alignment.cells(some.where("false")).count() == 0
+        got = [(b, i, v) for (b,) in found.select("batch").distinct().collect() for at, data in alignment.opened(found.where(F.col("batch") == b).toArrow()) for i, v in zip(at.tolist(), read(data))]
+        assert sorted(got) == sorted(map(tuple, some.collect()))
+
+
 def test_empty_tables(spark):
     assert made(spark, [])[1] == []
     assert made(spark, [None, ""])[1] == [(0, 0, 0, 0, 0, 0, "")] * 2
