@@ -209,6 +209,8 @@ def cells(rows: DataFrame) -> DataFrame:
     text = rows.dtypes[2][1] == "string"
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        trim()
         for b in arrow:
             if not b.num_rows:
                 continue
