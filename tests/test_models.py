@@ -121,6 +121,29 @@ def test_charcnn_gradients_and_learning(spark):
     assert charcnn.fit(df.where("false")).transform(df).count() == 66
 
 
+def test_charcnn_saved_and_resumed(spark, tmp_path):
+    """A fit that broke off after its first epochs ends with the weights of one that didn't; changed files are refused."""
+    rows = [(i, "zzz qqq xxx " * 8 if i % 2 else "aaa eee ooo " * 8, i % 2) for i in range(48)]
+    df = spark.createDataFrame(rows, "id long, text string, label int").coalesce(1)
+    folder = files.Folder(spark, f"{tmp_path}/epochs")
+    whole = charcnn.fit(df, epochs=3, batch=16)
+    part = charcnn.fit(df, epochs=2, batch=16, folder=folder)
+    assert part.epochs == 2 and len(folder.names()) == 2
+    resumed = charcnn.fit(df, epochs=3, batch=16, folder=folder)
+    assert len(folder.names()) == 3 and len(resumed.losses) == len(whole.losses) and np.allclose(resumed.losses, whole.losses, rtol=1e-5)
+    assert all(np.allclose(resumed.weights[k], whole.weights[k], atol=1e-5) for k in whole.weights)
+    assert charcnn.fit(df, epochs=1, batch=16, folder=folder).epochs == 1
+    assert len(charcnn.fit(df.where("id < 40"), epochs=1, batch=16, folder=folder).losses) == 3 and len(folder.names()) == 4  # other rows: a start of its own
+    store = files.ModelStore(spark, f"{tmp_path}/store")
+    store.save(resumed, "charcnn", {"batch": 16})
+    loaded = store.load("charcnn", {"batch": 16}, charcnn.CharCnn)
+    assert all((loaded.weights[k] == resumed.weights[k]).all() and (loaded.moments[k][1] == resumed.moments[k][1]).all() for k in resumed.weights)
+    text = resumed.dumps()
+    at = text.index("AA")  # of an array: digests are lower-case
+    with pytest.raises(ValueError):
+        charcnn.CharCnn.loads(text[:at] + "BB" + text[at + 2 :])
+
+
 def test_neighbours_in_projections(spark):
     df, x, y = sparse_rows(spark)
     got = {r["id"]: np.array(r["projected"]) for r in knn.project_vectors(df, 64).collect()}
