@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from stylomill.functions import hooks
-from stylomill.operators import boosting, charcnn, knn, metrics, models
+from stylomill.operators import boosting, charcnn, folds, knn, metrics, models
 from stylomill.sources import files
 
 
@@ -121,6 +121,15 @@ def test_charcnn_gradients_and_learning(spark):
     assert charcnn.fit(df.where("false")).transform(df).count() == 66
 
 
+def test_columns_named_like_internal_ones(spark):
+    df = spark.createDataFrame([(i, i % 2, "a", "b", "c", Vectors.dense([float(i)])) for i in range(11)], ["id", "label", "__nth_row", "__ALL_ROWS", "__margin", "features"])
+    plain = df.select("id", "label")
+    for clash, own in ((folds.shuffled_folds(df, 3), folds.shuffled_folds(plain, 3)), (folds.stratified_folds(df.withColumnRenamed("__margin", "__nth_of_label"), 3), folds.stratified_folds(plain, 3))):
+        assert {r["id"]: r["fold"] for r in clash.collect()} == {r["id"]: r["fold"] for r in own.collect()} and {"__nth_row", "__ALL_ROWS"} < set(clash.columns)
+    scored = boosting.BoostedModel([], 0.0, 1).transform(df)
+    assert [r["__margin"] for r in scored.collect()] == ["c"] * 11 and scored.where("prediction = 1").count() == 11
+
+
 def test_charcnn_saved_and_resumed(spark, tmp_path):
     """A fit that broke off after its first epochs ends with the weights of one that didn't; changed files are refused."""
     rows = [(i, "zzz qqq xxx " * 8 if i % 2 else "aaa eee ooo " * 8, i % 2) for i in range(48)]
