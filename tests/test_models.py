@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from stylomill.functions import hooks
-from stylomill.operators import boosting, charcnn, folds, knn, metrics, models
+from stylomill.operators import boosting, charcnn, folds, knn, linear, metrics, models
 from stylomill.sources import files
 
 
@@ -310,3 +310,15 @@ def test_mined_terms_are_all_terms_counted(spark):
         assert got_v.keys() == want_v.keys() and all(math.isclose(got_v[k], want_v[k]) for k in got_v)
     nothing = ngrams.TextVectors([], [], ("id",)).transform(df).first()
     assert nothing["features"].size == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_one_array_of_a_sum_comes_to_the_driver(spark, monkeypatch, parts):
+    df, x, _ = sparse_rows(spark)
+    blocks = linear.Blocks(df.repartition(parts))
+    came, collect = [], type(blocks.rdd).collect
+    monkeypatch.setattr("pyspark.core.rdd.RDD.collect", lambda rdd: came.append(collect(rdd)) or came[-1])
+    got = blocks.sum(lambda b: np.stack(b.moments(30)))
+    blocks.free()
+    assert np.allclose(got, [x.sum(axis=0), (x**2).sum(axis=0)])
+    assert len(came) == 1 and sum(r[1].size for r in came[0]) == 60
