@@ -322,3 +322,18 @@ def test_one_array_of_a_sum_comes_to_the_driver(spark, monkeypatch, parts):
     blocks.free()
     assert np.allclose(got, [x.sum(axis=0), (x**2).sum(axis=0)])
     assert len(came) == 1 and sum(r[1].size for r in came[0]) == 60
+
+
+def test_boosting_by_features_by_rows_and_without_walks(spark, monkeypatch):
+    """Blocks of features, in this process and as jobs, give the trees that blocks of rows give, and no pass walks earlier trees."""
+    df, x, y = sparse_rows(spark)
+    p = boosting.Params(n_estimators=6, max_depth=3, chunk=4, subsample=0.8, colsample_bytree=0.7, min_child_weight=2.0)
+    walked, original = [], boosting.Rows.node
+    monkeypatch.setattr(boosting.Rows, "node", lambda *a: walked.append(1) or original(*a))
+    near = boosting.fit(df, p)
+    assert not walked
+    monkeypatch.setattr(boosting, "PART_ENTRIES", 200)
+    as_jobs, by_rows = boosting.fit(df, p, local_bytes=0), boosting.fit(df, p, column_rows=0)
+    for other in (as_jobs, by_rows):
+        for a, b in zip(near.trees, other.trees, strict=True):
+            assert a.feature == b.feature and a.left == b.left and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
