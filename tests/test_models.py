@@ -337,3 +337,21 @@ def test_boosting_by_features_by_rows_and_without_walks(spark, monkeypatch):
     for other in (as_jobs, by_rows):
         for a, b in zip(near.trees, other.trees, strict=True):
             assert a.feature == b.feature and a.left == b.left and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
+
+
+def test_search_fits_folds_side_by_side(spark, tmp_path, monkeypatch):
+    """Trials of one search share the solver's jobs, and score as those that are fitted alone."""
+    df, x, y = sparse_rows(spark)
+    cfg = models.Config(n_iter=3, kfolds=2, artifacts=str(tmp_path / "alone"))
+    jobs, original = [], linear.Blocks.sum
+    monkeypatch.setattr(linear.Blocks, "sum", lambda *a: jobs.append(1) or original(*a))
+    best, alone = models.random_search("lr", models.fit_lr, models.LR_SPACE, df, cfg)
+    n = len(jobs)
+    found, side = models.random_search("lr", models.fit_lr, models.LR_SPACE, df, models.Config(n_iter=3, kfolds=2, artifacts=str(tmp_path / "side")), folds=models.fit_lr_folds)
+    assert len(jobs) - n < n / 2 and found == best
+    assert [(t["cand_idx"], t["fold_idx"], t["status"]) for t in side] == [(t["cand_idx"], t["fold_idx"], t["status"]) for t in alone]
+    assert np.allclose([t["score"] for t in side], [t["score"] for t in alone], atol=0.02)
+    rows = folds.stratified_folds(df, 2)
+    for (params, k), m in zip(wanted := [({"C": 0.3, "class_weight": "balanced"}, 0), ({"C": 3.0}, 1)], models.fit_lr_folds(rows, wanted, tol=1e-10)):
+        plain = models.fit_lr(rows.where(F.col("fold") != k), **params, tol=1e-10)
+        assert np.allclose(m.coefficients.toArray(), plain.coefficients.toArray(), atol=1e-3) and abs(m.intercept - plain.intercept) < 1e-3
