@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
-from stylomill.operators import models, tfidf
+from stylomill.operators import charcnn, models, tfidf
 from stylomill.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,21 @@ def test_repeats_and_words_are_the_plain_loops(spark):
         assert r["has_5gram_repetition"] == int(len(t) >= 10 and len(set(grams)) < len(grams)), t
         assert r["got"] == r["want"], t
     assert "words" not in X.with_features(df).columns
+
+
+def test_a_steps_job_has_its_rows_only(spark, monkeypatch):
+    """Rows are dealt once for many steps: each is in one share of one step, and how many steps are dealt together doesn't matter."""
+    rows = spark.createDataFrame([(i * 7919, i % 2, [i % 90] * charcnn.LENGTH) for i in range(100)], "h long, y int, ids array<int>").repartition(3)
+    want = {r["h"]: r["s"] for r in rows.select("h", F.pmod(F.xxhash64(F.lit(1), F.lit(0), "h"), F.lit(5)).alias("s")).collect()}
+    monkeypatch.setattr(charcnn, "STEPS", 2)
+    found = {}
+    for at in (0, 2, 4):
+        dealt = charcnn._dealt(rows, 1, 0, 5, at, 3)
+        for place, part in enumerate(dealt.glom().collect()):
+            assert all(k == place for k, _ in part)
+            found.update({x[0]: at + place // 3 for _, x in part})
+    assert found == want
+    df = spark.createDataFrame([(i, "zz qq " * 8 if i % 2 else "aa ee " * 8, i % 2) for i in range(40)], "id long, text string, label int")
+    few = charcnn.fit(df, epochs=1, batch=8)
+    monkeypatch.setattr(charcnn, "STEPS", 512)
+    assert len(few.losses) >= 4 and np.allclose(few.losses, charcnn.fit(df.repartition(5), epochs=1, batch=8).losses, rtol=1e-6)
