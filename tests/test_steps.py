@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
-from stylomill.operators import charcnn, models, tfidf
+from stylomill.operators import charcnn, knn, models, tfidf
 from stylomill.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,24 @@ def test_a_steps_job_has_its_rows_only(spark, monkeypatch):
     few = charcnn.fit(df, epochs=1, batch=8)
     monkeypatch.setattr(charcnn, "STEPS", 512)
     assert len(few.losses) >= 4 and np.allclose(few.losses, charcnn.fit(df.repartition(5), epochs=1, batch=8).losses, rtol=1e-6)
+
+
+def test_wide_rows_travel_less_often(spark, monkeypatch):
+    """Narrow types stay narrow, wide rows meet in larger blocks, which are compared in parts: neighbours are those of a plain loop."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((90, 128)).astype(np.float32)
+    v[40:50] = v[3]
+    df = spark.createDataFrame([(i, v[i].tolist(), i % 2) for i in range(90)], "vec_id long, embedding array<float>, label int").repartition(3)
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    monkeypatch.setattr(knn, "TILE", 7)
+    kinds, copied = [], []
+    monkeypatch.setattr(knn, "stored", lambda d, name, real=knn.stored: kinds.append(dict(d.dtypes).get("v")) or real(d, name))
+    monkeypatch.setattr(F, "sequence", lambda *a, real=F.sequence: copied.append(a) or real(*a))
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in knn.nearest(df, df, 5).collect()}
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    for i in range(90):
+        want = sorted((j for j in range(90) if j != i), key=lambda j: (-sim[i, j], j))[:5]
+        assert [got[i, k + 1] for k in range(5)] == want
+    assert {k for k in kinds if k} == {"array<float>"}
+    assert str(copied[0][1]._jc.toString()) == "2"  # 90 queries in 3 chunks of 32; blocks of 16 would be 6
