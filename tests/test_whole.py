@@ -58,3 +58,21 @@ def test_char_ngrams_of_the_references_lengths(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert dict(con.sql(queries.ORACLE_SQL["char_ngrams35_df"]).fetchall()) == got
+
+
+def test_searches_try_every_candidate(spark, tmp_path, monkeypatch):
+    """The tuned query asks for both whole grids, and a slow search with low scores drops nothing."""
+    asked = []
+    monkeypatch.setattr(model_queries, "prepared_split", lambda *a: (None,) * 3)
+    monkeypatch.setattr(pipelines, "vectorized", lambda *a: (spark.createDataFrame([(i, i % 2, Vectors.dense([float(i % 3)])) for i in range(12)], ["id", "label", "features"]),) * 3)
+    monkeypatch.setattr(models, "random_search", lambda name, fit, space, rows, cfg, **_: asked.append((name, models.candidates(space, cfg.n_iter, cfg.seed))) or ({}, []))
+    monkeypatch.setattr(pipelines, "rules_prevalence", lambda *a, **_: (None, None))
+    queries.QUERIES["tuned_submission"](spark, "")
+    monkeypatch.undo()
+    assert [(name, len(found)) for name, found in asked] == [("nb", 5), ("lr", 10)]
+    assert {(p["C"], p["class_weight"]) for p in asked[1][1]} == {(c, w) for c in models.LR_SPACE["C"] for w in models.LR_SPACE["class_weight"]}
+    df = spark.createDataFrame([(i, i % 2, Vectors.dense([float(i % 3)])) for i in range(12)], ["id", "label", "features"])
+    clock = iter(range(0, 10**9, 10_000))  # hours pass between any two looks
+    monkeypatch.setattr(models.time, "time", lambda: next(clock))
+    _, trials = models.random_search("slow", models.fit_nb, models.NB_SPACE, df, models.Config(n_iter=None, kfolds=2, artifacts=str(tmp_path)))
+    assert len(trials) == 10
